@@ -5,15 +5,15 @@ stands at the same place in both.  So each document is cut into *anchors* (such
 k-grams with the run of windows they stand for), and the windows of a corpus are
 ordered digit by digit, the most significant first:
 
-1. by the anchor's k symbols.  Groups met by one block's one context are done.
-2. by the anchor's whole span (all symbols of its windows).  Where all blocks
-   have the same span, every occurrence but the first is a repeat.
-3. groups still open are ordered by all T symbols of each window (``radix``), or
-   streamed through suffix automata (``automata``).
-
-A block sends one event per distinct anchor, so a passage in a third of all
-documents costs one event per block.  Equal hashes count as equal: a match needs
-two or three independent 64-bit hashes to agree.
+1. by the anchor's k symbols.  Groups with one span are done.
+2. by the anchor's whole span (all symbols of its windows).  Every occurrence of
+   a span but the first is a repeat.
+3. first occurrences of spans in groups with several are ordered by all T symbols
+   of each window, or streamed through suffix automata.
+
+A block sends each distinct span once (of an anchor with many spans, one event),
+so a passage in a third of all documents costs a few events per block.  Equal
+hashes count as equal: a match needs two independent ones to agree, 80 bits or more.
 """
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ FIRST, LATER, OPEN, HOT = 0, 1, 2, 3
 CHUNK = {"bytes": 1 << 20, "words": 1 << 19}
 #: These bits of a gram's hash hold its place, so that the leftmost of equal ones is the least.
 LOW = np.uint64((1 << 22) - 1)
+#: Anchors and spans travel as 48 bits each; a window as 56 bits and 24 bits of its anchor.
+SHORT, CHECK = np.uint64(16), np.uint64((1 << 24) - 1)
+#: A block sends each span of an anchor that has no more than these; of others, one event.
+FEW = 8
 
 
 class Anchors:
@@ -94,40 +98,42 @@ class Anchors:
         first, last, at = start[edge], start[np.append(edge[1:], len(start)) - 1], at[edge]
         shape = ((at - first) << 20 | (last - first)).astype(np.uint64)
         span = C.mix(roll.of(first, last + window) ^ shape * np.uint64(0x9E3779B97F4A7C15))
-        return C.mix(grams[at] ^ np.uint64(0xA5A5A5A5)), np.maximum(span, np.uint64(1)), first + lo, last + lo
+        return C.mix(grams[at] ^ np.uint64(0xA5A5A5A5)), np.maximum(span, np.uint64(1 << 16)), first + lo, last + lo
 
     def _group(self) -> None:
-        """Groups of equal anchors; in each, the first in document order leads."""
-        self.order = np.argsort(self.gram, kind="stable")
-        grams, spans = self.gram[self.order], self.span[self.order]
-        self.start = C.runs(grams)
-        self.keys, n = grams[self.start], len(grams)
-        if n:
-            least, most = np.minimum.reduceat(spans, self.start), np.maximum.reduceat(spans, self.start)
-            self.shape = np.where(least == most, least, np.uint64(0))
-        else:
-            self.shape = np.zeros(0, np.uint64)
-        self.lead = self.order[self.start]
-        self.of_group = np.empty(n, np.int64)
-        self.of_group[self.order] = C.spread(np.arange(len(self.start)), self.start, n)
+        """Groups of equal anchors, and in them classes of equal spans, led by the first in document order."""
+        n = len(self.gram)
+        order = np.lexsort((self.span, self.gram))
+        group = C.runs(self.gram[order])
+        start = np.unique(np.concatenate((group, C.runs(self.span[order]))))
+        self.lead = order[start]
+        self.of_class = np.empty(n, np.int64)
+        self.of_class[order] = C.spread(np.arange(len(start)), start, n)
+        first = np.searchsorted(start, group)
+        count = np.diff(np.append(first, len(start)))
+        alone = C.spread(count <= FEW, first, len(start))
+        event = alone.copy()
+        event[first] = True
+        self.of_event = np.cumsum(event) - 1
+        self.sent = np.flatnonzero(event)
+        self.sizes = np.where(alone, 1, C.spread(count, first, len(start)))[self.sent]
+        self.shape = np.where(alone, self.span[self.lead], np.uint64(0))[self.sent]
+        least = np.minimum.reduceat(self.ids[self.doc[self.lead]], first) if n else np.zeros(0, np.int64)
+        self.least = np.where(alone, self.ids[self.doc[self.lead]], C.spread(least, first, len(start)))[self.sent]
+        self.keys = self.gram[self.lead[self.sent]]
 
     def events(self) -> tuple[np.ndarray, ...]:
-        sizes = np.diff(np.append(self.start, len(self.order)))
-        return self.keys, self.shape, self.ids[self.doc[self.lead]], np.where(self.shape == 0, sizes, 1).astype(np.uint32)
+        """Anchor, span (0: many of them), smallest id and number of spans of each event."""
+        return self.keys >> SHORT, self.shape >> SHORT, self.least, self.sizes.astype(np.uint32)
+
+    def coded(self, codes: np.ndarray) -> np.ndarray:
+        return codes[self.of_event[self.of_class]]
 
     def leaders(self, codes: np.ndarray, code: int, same_doc: bool) -> np.ndarray:
-        """Anchors of groups with this code, one of each span; with ``same_doc``, all of the first one's id."""
-        at = np.flatnonzero(codes[self.of_group] == code)
-        if not len(at):
-            return at
-        at = at[np.lexsort((at, self.span[at], self.gram[at]))]
-        start = C.runs(self.span[at])
-        start = np.unique(np.concatenate((start, C.runs(self.gram[at]))))
-        lead = C.spread(at[start], start, len(at))
-        keep = at == lead
-        if same_doc:
-            keep |= self.ids[self.doc[at]] == self.ids[self.doc[lead]]
-        return np.sort(at[keep])
+        """Anchors with this code, one of each span; with ``same_doc``, all of the first one's id."""
+        at = np.flatnonzero(self.coded(codes) == code)
+        lead = self.lead[self.of_class[at]]
+        return at[self.ids[self.doc[at]] == self.ids[self.doc[lead]] if same_doc else at == lead]
 
     def windows(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, hash and anchor of each window of these anchors."""
@@ -143,8 +149,9 @@ class Anchors:
 
 def _first_pass(unit: str, window: int, gram: int, parts: int):
     def work(block: int, rows: pa.Table) -> Iterator[dict]:
-        keys, shape, ids, sizes = Anchors(rows, unit, window, gram).events()
-        bounds = C.cut(keys, parts)
+        a = Anchors(rows, unit, window, gram)
+        keys, shape, ids, sizes = a.events()
+        bounds = C.cut(a.keys, parts)
         full = [p for p in range(parts) if bounds[p + 1] > bounds[p]]
         yield {"part": full, "block": [block] * len(full), "blob": [C.pack(*(x[bounds[p] : bounds[p + 1]] for x in (keys, shape, ids, sizes)), ascending=1) for p in full]}
 
@@ -154,17 +161,15 @@ def _first_pass(unit: str, window: int, gram: int, parts: int):
 def _decide(automata: bool, most: int):
     def work(part: int, own: list[int], arrays: list[list[np.ndarray]]) -> Iterator[dict]:
         keys, shape, ids, sizes = (np.concatenate(x) for x in zip(*arrays, strict=True))
-        order = np.argsort(keys, kind="stable")
-        start = C.runs(keys[order])
         n = len(keys)
-        shapes = shape[order]
-        least, most_shape = np.minimum.reduceat(shapes, start), np.maximum.reduceat(shapes, start)
-        many = (least != most_shape) | (least == 0)
-        first = np.minimum.reduceat(ids[order], start)
-        total = np.add.reduceat(sizes[order].astype(np.int64), start)
-        code = np.where(many, np.where((total > most) | (not automata), HOT, OPEN), FIRST)
-        code = C.spread(code, start, n)
-        code[(code == FIRST) & (ids[order] > C.spread(first, start, n))] = LATER
+        order = np.lexsort((shape, keys))
+        group = C.runs(keys[order])
+        same = np.unique(np.concatenate((group, C.runs(shape[order]))))
+        first = C.spread(np.minimum.reduceat(ids[order], same), same, n)
+        many = (np.diff(np.append(np.searchsorted(same, group), len(same))) > 1) | (shape[order][group] == 0)
+        total = np.add.reduceat(sizes[order].astype(np.int64), group)
+        code = C.spread(np.where(many, np.where((total > most) | (not automata), HOT, OPEN), FIRST), group, n)
+        code[(shape[order] != 0) & (ids[order] > first)] = LATER
         out = np.empty(n, np.uint8)
         out[order] = code
         bounds = np.cumsum([0, *(len(a[0]) for a in arrays)])
@@ -202,7 +207,7 @@ def _second_pass(unit: str, window: int, gram: int, parts: int, within: bool):
             bounds = C.cut(keys, parts)
             for p in np.flatnonzero(np.diff(bounds)):
                 s = slice(bounds[p], bounds[p + 1])
-                out.append((2 * int(p), block, C.pack(keys[s], a.gram[own[lead_of[s]]], a.ids[a.doc[own[lead_of[s]]]], ascending=1)))
+                out.append((2 * int(p), block, C.pack(keys[s] >> np.uint64(8), (a.gram[own[lead_of[s]]] & CHECK).astype(np.uint32), a.ids[a.doc[own[lead_of[s]]]], ascending=1)))
         lead = a.leaders(codes, OPEN, False)
         if len(lead):
             lead = lead[np.argsort(a.gram[lead], kind="stable")]
@@ -310,15 +315,11 @@ def _covered(a: Anchors, got: dict, within: bool) -> np.ndarray:
 
     if len(a.keys):
         codes = _codes(got, 0, len(a.keys))
-        code, lead = codes[a.of_group], a.lead[a.of_group]
-        every = np.arange(len(code))
-        later = every != lead if within else a.ids[a.doc] > a.ids[a.doc[lead]]
-        whole = (code == LATER) | (code == FIRST) & later
+        code, lead = a.coded(codes), a.lead[a.of_class]
+        later = np.arange(len(code)) != lead if within else a.ids[a.doc] > a.ids[a.doc[lead]]
+        whole = (code == LATER) | later
         for kind in (OPEN, HOT):
             chosen = a.leaders(codes, kind, kind == HOT and not within)
-            of = np.zeros(len(code), bool)
-            of[chosen] = True
-            whole |= (code == kind) & ~of  # the same span stands earlier in this block
             if not len(chosen):
                 continue
             if kind == HOT:
