@@ -31,7 +31,8 @@ from . import common as C
 
 #: Of an anchor: no earlier one, an earlier one elsewhere, undecided, undecided and frequent.
 FIRST, LATER, OPEN, HOT = 0, 1, 2, 3
-CHUNK = {"bytes": 1 << 20, "words": 1 << 19}
+CHUNK = {"bytes": 1 << 19, "words": 1 << 18}
+BLOCK = 8 << 20
 #: These bits of a gram's hash hold its place, so that the leftmost of equal ones is the least.
 LOW = np.uint64((1 << 22) - 1)
 #: Anchors and spans travel as 48 bits each; a window as 56 bits and 24 bits of its anchor.
@@ -352,7 +353,7 @@ def repeated(docs: DataFrame, unit: str, window: int, gram: int, within: bool, a
     A null text is empty; a null doc_id comes after every other; rows that share
     a doc_id are not earlier than one another across blocks.
     """
-    packed = C.blocks(docs)
+    packed = C.blocks(docs, BLOCK)
     parts = C.parts_for(packed)
     answers = C.gathered(C.each_block(packed, _first_pass(unit, window, gram, parts), C.EVENTS, C.ARROW_EVENTS), _decide(automata, most))
     answers = C.checkpointed(answers)
