@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, langid, lm, repeats, toxicity
+from . import common, langid, lm, packing, repeats, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,10 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.deleted_interpolation(common.table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.suffix_array_dedup(common.table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op4_language_id": op4_language_id,
     "op6_lm_scoring": op6_lm_scoring,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
