@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, langid, lm, packing, repeats, toxicity
+from . import common, langid, lm, packing, repeats, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where("vec_id % 20 = 0"), k=20)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(common.table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_language_id": op4_language_id,
     "op6_lm_scoring": op6_lm_scoring,
     "op8_best_fit_packing": op8_best_fit_packing,
