@@ -21,18 +21,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
 
 SETTINGS = ((24, 1 / 8), (48, 1 / 4), (24, 1 / 3), (48, 1 / 2))
-KEEP, LATER, TEXT = 250_000, 150_000, 1 << 20
+KEEP, LATER, TEXT = 300_000, 200_000, 1 << 18
+MARKS, GAP = ".,;:!?", " \0 "
 
 
 class Encoder:
     """Token ids of whole texts as bytes; words between ASCII blanks are encoded once and kept.
 
+    The tokenizer lower-cases, and its pieces never mix letters and other marks: a
+    first letter A-Z and one mark after a letter need no encoding of their own.
     The first ``KEEP`` words, the frequent ones among them, stay; later ones are
     forgotten from time to time, so that memory is bounded.
     """
@@ -41,7 +45,27 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.first = Tokenizer.from_file(path), {}, None
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known, self.first = {"": b""}, None
+        self.gap = self.tokenizer.encode("\0", add_special_tokens=False).ids
+        if len(self.gap) != 1:
+            raise ValueError("the tokenizer has no id of its own for a zero byte")
+        self._encode(list(MARKS))
+
+    def _encode(self, words: list[str]) -> None:
+        """Many words at a time, with a mark between them whose ids no other word can have."""
+        odd = [w for w in words if "\0" in w or "<|" in w]
+        for w in odd:
+            self.known[w] = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+        words = [w for w in words if w not in self.known] if odd else words
+        joined = [words[k : k + 50] for k in range(0, len(words), 50)]
+        for some, found in zip(joined, self.tokenizer.encode_batch_fast([GAP.join(x) for x in joined], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cut = np.flatnonzero(ids == self.gap[0]).tolist()
+            data = ids.tobytes()
+            if len(cut) != len(some) - 1:
+                raise RuntimeError("words and token ids do not match")
+            self.known.update(zip(some, (data[4 * lo + 4 : 4 * hi] for lo, hi in zip([-1, *cut], [*cut, len(ids)], strict=True)), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
@@ -49,10 +73,15 @@ class Encoder:
             self.first = self.known.copy()
         if len(self.known) > KEEP + LATER:
             self.known = self.first.copy()
-        new = list(set().union(*split).difference(self.known))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[word] = array("I", found.ids).tobytes()
-        known = self.known.__getitem__
+        new, stems = set().union(*split).difference(self.known), {}
+        for word in new:
+            end = word[-1] if word[-1] in MARKS and word[-2:-1].isalpha() else ""
+            stem = word[:-1] if end else word
+            stems[word] = (chr(ord(stem[0]) + 32) + stem[1:] if "A" <= stem[0] <= "Z" else stem, end)
+        self._encode(list({s for s, _ in stems.values()}.difference(self.known)))
+        known = self.known
+        known.update({w: known[s] + known[e] for w, (s, e) in stems.items()})
+        known = known.__getitem__
         return [b"".join(map(known, words)) for words in split]
 
 
@@ -75,14 +104,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
         for batch in batches:
-            keys, texts = batch["doc_id"].to_pylist(), [t or "" for t in batch["text"].to_pylist()]
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             at = 0
-            while at < len(texts):
-                upto, n, out = at, 0, []
-                while upto < len(texts) and (n == 0 or n + len(texts[upto]) <= TEXT):
-                    n += len(texts[upto])
-                    upto += 1
-                for key, ids in zip(keys[at:upto], encode(texts[at:upto]), strict=True):
+            while at < batch.num_rows:
+                upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT, side="right")))
+                some, out = batch.slice(at, upto - at), []
+                for key, ids in zip(some["doc_id"].to_pylist(), encode([t or "" for t in some["text"].to_pylist()]), strict=True):
                     ids += tail
                     for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[lo : lo + 4 * capacity]
