@@ -1,16 +1,19 @@
 """N-gram Jaccard join by parity sketches.
 
-A document is its set of word shingles.  Each shingle flips one bit of the
-document's sketch, which is cut into words; a shingle in one set only changes at
-most one word, so the number of differing words, and of differing bits, is at
-most the symmetric difference.  Sets are dealt to bands by size.  A band's
-sketches have more words than two similar sets can differ in, so by the
-pigeonhole principle linked sets share a word: they meet in its bucket.
+A document is its set of word shingles.  The sketch of a set has 64-bit words;
+each shingle is hashed to one word and XORed into it.  A shingle that only one of
+two sets has changes one word, so the number of differing words is at most the
+symmetric difference.  Sets are dealt to bands by size.  A band's sketches have
+more words than two similar sets can differ in, so by the pigeonhole principle
+linked sets share a word: they meet in its bucket.  (Words in which a shingle
+flips a single bit made nearly all documents meet: of words that hold one
+shingle there are only 64.)
 
 Equal sets are one vertex.  A bucket sends its members to its least vertex (the
-leader); all pairs among a leader's members are compared, first by the bits of a
-short sketch, then exactly.  Large groups are cut into chunks, and each pair of
-chunks is compared by itself.  Only spanning links come out.
+leader); all pairs among a leader's members are compared, first by the Hamming
+distance of sketches in which each shingle flips one bit, then exactly.  Large
+groups are cut into chunks, and each pair of chunks is compared by itself.  Only
+spanning links come out.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from .components import components
 
 SPARE = 2  # words of a sketch beyond the pigeonhole bound
 BITS = 1024
-SHORT = np.uint64(16)  # of a shingle's hash, bits left out on the way to a comparison
+ROWS = 20  # bits of a document's row in its block
+SHORT = np.uint64(16)  # bits of a hash that are left out on the way: of a bucket's key, of a shingle in a comparison
 
 
 class Bands:
@@ -90,7 +94,7 @@ class Sets:
             h = C.mix(self.hashes[tokens] ^ np.uint64(0x7F4A7C15))
             at = first[of] + ((h >> np.uint64(32)) * words[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
             sketch = np.zeros(int(first[-1]), np.uint64)
-            np.bitwise_xor.at(sketch, at, np.uint64(1) << (h & np.uint64(63)))
+            np.bitwise_xor.at(sketch, at, h)
             own = np.repeat(np.arange(len(docs)), words)
             blank = sketch == 0
             # all words that a linked pair shares may be blank only where each of the two has as many blank ones
@@ -101,49 +105,55 @@ class Sets:
         return np.concatenate([k for k, _ in out]), np.concatenate([d for _, d in out])
 
 
-def _pairs(part: int, arrays: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(leader, member) of each bucket with at least two vertices."""
-    keys, vertices = (np.concatenate(x) for x in zip(*arrays, strict=True))
-    order = np.lexsort((vertices, keys))
-    keys, vertices = keys[order], vertices[order]
+def _pairs(own: list[int], arrays: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(leader, member) of each bucket with at least two documents, by place (block and row)."""
+    keys = np.concatenate([a[0] for a in arrays])
+    place = np.concatenate([np.int64(b) << ROWS | a[1].astype(np.int64) for b, a in zip(own, arrays, strict=True)])
+    order = np.lexsort((place, keys))
+    keys, place = keys[order], place[order]
     start = C.runs(keys)
-    lead = C.spread(vertices[start], start, len(keys))
-    keep = vertices != lead
-    pairs = np.unique(np.stack((lead[keep], vertices[keep]), axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def verified(sets: list[np.ndarray], side: np.ndarray, same: bool, bands: Bands) -> list[tuple[int, int]]:
-    """Spanning links among sets whose Jaccard similarity reaches the threshold."""
-    n = len(sets)
-    sketch = np.zeros((n, BITS), np.uint8)
-    for k, s in enumerate(sets):
-        sketch[k] = np.bincount((C.mix(s) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    words = np.packbits(sketch, axis=1).view(np.uint64)
-    size, parent, out = np.array([len(s) for s in sets]), list(range(n)), []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    lead = C.spread(place[start], start, len(keys))
+    keep = place != lead
+    pairs = np.unique(np.stack((lead[keep], place[keep]), axis=1), axis=0)
+    return pairs[:, 0].copy(), pairs[:, 1].copy()
 
+
+def sketches(s: Sets) -> np.ndarray:
+    """``BITS`` bits for each document, one flipped by each shingle, as 64-bit words."""
+    doc = np.repeat(np.arange(len(s.n)), s.n)
+    out = np.zeros(len(s.n) * BITS // 64, np.uint64)
+    h = C.mix(s.hashes)
+    np.bitwise_xor.at(out, doc * (BITS // 64) + ((h >> np.uint64(6)) % np.uint64(BITS // 64)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    return out.reshape(len(s.n), -1)
+
+
+def spanning(words: np.ndarray, size: np.ndarray, side: np.ndarray, same: bool, bands: Bands, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose sketches differ in few enough bits and, given sets, whose sets do.
+
+    Pairs that are connected already are not compared.
+    """
+    n, out = len(words), []
+    label = np.arange(n)
     for a in range(n - 1):
-        other = np.arange(a + 1, n)
+        other = a + 1 + np.flatnonzero(label[a + 1 :] != label[a])
         if not same:
-            other = other[side[a + 1 :] != side[a]]
+            other = other[side[other] != side[a]]
+        if not len(other):
+            continue
         most = bands.most(size[a], size[other])
-        other, most = other[np.abs(size[other] - size[a]) <= most], most[np.abs(size[other] - size[a]) <= most]
-        far = np.bitwise_count(words[other] ^ words[a]).sum(axis=1, dtype=np.int64)
-        order = np.argsort(far, kind="stable")
-        for b, d, m in zip(other[order].tolist(), far[order].tolist(), most[order].tolist(), strict=True):
-            if d > m or root(a) == root(b):
+        far = np.maximum(np.bitwise_count(words[other] ^ words[a]).sum(axis=1, dtype=np.int64), np.abs(size[other] - size[a]))
+        near = np.flatnonzero(far <= most)
+        for x in near[np.argsort(far[near], kind="stable")].tolist():
+            b = int(other[x])
+            if label[a] == label[b]:
                 continue
-            both = np.concatenate((sets[a], sets[b]))
-            both.sort()
-            if len(both) - 2 * int(np.count_nonzero(both[1:] == both[:-1])) <= m:
-                parent[max(root(a), root(b))] = min(root(a), root(b))
-                out.append((a, b))
+            if sets is not None:
+                both = np.concatenate((sets[a], sets[b]))
+                both.sort()
+                if len(both) - 2 * int(np.count_nonzero(both[1:] == both[:-1])) > most[x]:
+                    continue
+            label[label == label[b]] = label[a]
+            out.append((a, b))
     return out
 
 
@@ -161,10 +171,10 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int = 102
 
     def describe(block: int, rows: pa.Table) -> Iterator[dict]:
         s = Sets(rows, width)
-        yield {"block": np.full(len(s.n), block), "doc_id": rows["doc_id"].to_pylist(), "n_shingles": s.n, "vertex": s.vertex}
+        yield {"place": np.int64(block) << ROWS | np.arange(len(s.n)), "doc_id": rows["doc_id"].to_pylist(), "n_shingles": s.n, "vertex": s.vertex, "sketch": [x.tobytes() for x in sketches(s)]}
 
-    schema = "block long, doc_id long, n_shingles long, vertex long"
-    arrow = pa.schema([(x.split()[0], pa.int64()) for x in schema.split(", ")])
+    schema = "place long, doc_id long, n_shingles long, vertex long, sketch binary"
+    arrow = pa.schema([*((x.split()[0], pa.int64()) for x in schema.split(", ")[:-1]), ("sketch", pa.binary())])
     about = C.checkpointed(C.each_block(packed, describe, schema, arrow))
     largest = about.agg(F.max("n_shingles")).first()[0] or 1
     bands = Bands(percent, int(largest))
@@ -174,60 +184,71 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int = 102
         which = np.unique(s.vertex, return_index=True)[1]
         keys, doc = s.keys(np.sort(which[s.n[which] > 0]), bands)
         order = np.argsort(keys, kind="stable")
-        keys, vertex = keys[order], s.vertex[doc[order]]
+        keys, doc = keys[order], doc[order].astype(np.uint32)
         bounds = C.cut(keys, parts)
         full = [int(p) for p in np.flatnonzero(np.diff(bounds))]
-        yield {"part": full, "block": [block] * len(full), "blob": [C.pack(keys[bounds[p] : bounds[p + 1]], vertex[bounds[p] : bounds[p + 1]], ascending=1) for p in full]}
+        yield {"part": full, "block": [block] * len(full), "blob": [C.pack(keys[bounds[p] : bounds[p + 1]] >> SHORT, doc[bounds[p] : bounds[p + 1]], ascending=1) for p in full]}
 
     def bucket(key, rows):
-        lead, member = _pairs(key[0].as_py(), [C.unpack(b.as_buffer().to_pybytes()) for b in rows["blob"]])
+        lead, member = _pairs(rows["block"].to_pylist(), [C.unpack(b.as_buffer().to_pybytes()) for b in rows["blob"]])
         return pa.table({"leader": lead, "member": member})
 
     events = C.each_block(packed, emit, C.EVENTS, C.ARROW_EVENTS)
-    pairs = C.checkpointed(events.groupBy("part").applyInArrow(bucket, "leader long, member long").distinct())
-    links = C.checkpointed(_compared(packed, about, pairs, width, bands, heavy, parts))
+    pairs = events.groupBy("part").applyInArrow(bucket, "leader long, member long").distinct()
+    for name in ("leader", "member"):
+        pairs = pairs.withColumnRenamed(name, "place").join(about.select("place", F.col("vertex").alias(name)), "place").drop("place")
+    pairs = C.checkpointed(pairs.where("leader <> member").distinct())
+    groups = pairs.select(F.col("leader").alias("group"), F.col("member").alias("vertex")).unionByName(pairs.select(F.col("leader").alias("group"), F.col("leader").alias("vertex")).distinct())
+    vertices = about.where("vertex <> 0").groupBy("vertex").agg(F.min("place").alias("place"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    near = components(_linked(groups.join(vertices.drop("place"), "vertex"), bands, heavy, parts))
+    near = C.checkpointed(near.select(F.col("component").alias("group"), F.col("id").alias("vertex")).join(vertices, "vertex"))
+    sets = _sets(packed, near.select("vertex", F.shiftright("place", ROWS).alias("block")), width)
+    links = _linked(near.drop("place").join(sets, "vertex"), bands, heavy, parts)
     joined = components(links).withColumnRenamed("id", "vertex")
     rooted = about.join(joined, "vertex", "left").select("doc_id", "n_shingles", F.when(F.col("vertex") != 0, F.coalesce("component", "vertex")).alias("root"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _compared(packed: DataFrame, about: DataFrame, pairs: DataFrame, width: int, bands: Bands, heavy: int, parts: int) -> DataFrame:
-    """Verified links (a, b) between vertices, by leader."""
-    members = pairs.select("leader", F.col("member").alias("vertex")).unionByName(pairs.select("leader", F.col("leader").alias("vertex")).distinct())
-    needed = members.select("vertex").distinct()
-    homes = about.where("vertex <> 0").groupBy("vertex").agg(F.min("block").alias("block")).join(needed, "vertex")
+def _sets(packed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(vertex, s): the sets of these vertices, each from the block where it stands first."""
 
     def fetch(key, left, right):
-        wanted, out = right["vertex"].to_numpy(), ([], [])
-        if left.num_rows and len(wanted):
+        vertices, out = right["vertex"].to_numpy(), ([], [])
+        if left.num_rows and len(vertices):
             s = Sets(C.thawed(left["blob"][0].as_buffer()), width)
             vertex, first = np.unique(s.vertex, return_index=True)
-            for k in first[np.isin(vertex, wanted)]:
+            for k in first[np.isin(vertex, vertices)]:
                 out[0].append(int(s.vertex[k]))
                 out[1].append(C.pack(s.hashes[s.offsets[k] : s.offsets[k + 1]] >> SHORT, ascending=1))
         return pa.table({"vertex": pa.array(out[0], pa.int64()), "s": pa.array(out[1], pa.binary())})
 
-    sets = packed.groupBy("block").cogroup(homes.groupBy("block")).applyInArrow(fetch, "vertex long, s binary")
-    chunks = members.groupBy("leader").agg(F.ceil(F.count("*") / heavy).alias("chunks"))
-    dealt = members.join(chunks, "leader").withColumn("chunk", F.pmod(F.xxhash64("vertex"), F.col("chunks")))
+    return packed.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(fetch, "vertex long, s binary")
+
+
+def _linked(members: DataFrame, bands: Bands, heavy: int, parts: int) -> DataFrame:
+    """Spanning links (a, b) in each group of (group, vertex, n, sketch), exact if there is a set ``s`` too."""
+    exact = "s" in members.columns
+    chunks = members.groupBy("group").agg(F.ceil(F.count("*") / heavy).alias("chunks"))
+    dealt = members.join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64("vertex"), F.col("chunks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    group = F.xxhash64("leader", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    dealt = dealt.select("vertex", group.alias("group"), (F.col("chunk") > F.col("other")).alias("side"), (F.col("chunk") == F.col("other")).alias("same"))
-    dealt = dealt.join(sets, "vertex").withColumn("part", F.pmod(F.xxhash64("group"), F.lit(4 * parts)))
+    pair = F.xxhash64("group", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    dealt = dealt.select("vertex", pair.alias("pair"), (F.col("chunk") > F.col("other")).alias("side"), (F.col("chunk") == F.col("other")).alias("same"), "n", "sketch", *(["s"] * exact))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("pair"), F.lit(4 * parts)))
 
     def compare(table):
-        order = np.argsort(table["group"].to_numpy(), kind="stable")
-        group, vertex = table["group"].to_numpy()[order], table["vertex"].to_numpy()[order]
-        side, same = table["side"].to_numpy()[order], table["same"].to_numpy()[order]
-        blobs, out = table["s"], ([], [])
-        start = np.append(C.runs(group), len(group))
+        pair, vertex, n, side, same = (table[x].to_numpy() for x in ("pair", "vertex", "n", "side", "same"))
+        order = np.lexsort((vertex, pair))
+        words = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(order), -1)
+        blobs, out = table["s"] if exact else None, ([], [])
+        start = np.append(C.runs(pair[order]), len(order))
         for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
             if hi - lo > 1:
-                own = [C.unpack(blobs[int(k)].as_buffer().to_pybytes())[0] for k in order[lo:hi]]
-                for a, b in verified(own, side[lo:hi], bool(same[lo]), bands):
-                    out[0].append(int(vertex[lo + a]))
-                    out[1].append(int(vertex[lo + b]))
+                at = order[lo:hi]
+                own = [C.unpack(blobs[int(k)].as_buffer().to_pybytes())[0] for k in at] if exact else None
+                for a, b in spanning(words[at], n[at], side[at], bool(same[at[0]]), bands, own):
+                    out[0].append(int(vertex[at[a]]))
+                    out[1].append(int(vertex[at[b]]))
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return dealt.groupBy("part").applyInArrow(compare, "a long, b long").distinct()
