@@ -197,8 +197,8 @@ def thawed(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(blob)).read_all()
 
 
-def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents (doc_id, text) as rows (block, blob), checkpointed.
+def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """Documents (doc_id, text, and a struct ``rest`` of the columns to carry) as rows (block, blob), checkpointed.
 
     Rows keep their input partition, so no text is shuffled; in a block they are
     ordered by doc_id (null last).  The checkpoint fixes the blocks, so that a
@@ -212,7 +212,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             nonlocal held, size, serial
             rows = pa.Table.from_batches(held)
             rows = rows.take(pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
-            out = pa.RecordBatch.from_arrays([pa.array([pid << 24 | serial]), pa.array([frozen(rows)], pa.binary())], names=["block", "blob"])
+            out = pa.RecordBatch.from_arrays([pa.array([pid << 16 | serial]), pa.array([frozen(rows)], pa.binary())], names=["block", "blob"])
             held, size, serial = [], 0, serial + 1
             return out
 
@@ -230,7 +230,8 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if held:
             yield flush()
 
-    return checkpointed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "block long, blob binary"))
+    rest = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest")] if carry else []
+    return checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest).mapInArrow(run, "block long, blob binary"))
 
 
 def ids(rows: pa.Table) -> np.ndarray:

@@ -252,3 +252,13 @@ def _linked(members: DataFrame, bands: Bands, heavy: int, parts: int) -> DataFra
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return dealt.groupBy("part").applyInArrow(compare, "a long, b long").distinct()
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, one of each group of similar ones: that with the smallest doc_id.
+
+    Null ids stay only where their group has no other id; rows that repeat id and
+    text are one document.
+    """
+    stays = similar(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["stays"]), "left_semi").dropDuplicates(["doc_id", "text"])

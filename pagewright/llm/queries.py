@@ -7,11 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, jaccard, langid, lm, neardup, packing, repeats, topk, toxicity
+from . import common, jaccard, langid, lm, mixing, neardup, packing, repeats, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(common.table(spark, sf_dir, "documents"), most_passes=2.0)
+    return found.select("doc_id", "source", "epoch", "mix_weight", "n_tokens", "mix_block")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -50,6 +55,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_language_id": op4_language_id,

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -342,18 +343,19 @@ def _covered(a: Anchors, got: dict, within: bool) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def repeated(docs: DataFrame, unit: str, window: int, gram: int, within: bool, automata: bool, most: int = 4096, keep: bool = False) -> DataFrame:
+def repeated(docs: DataFrame, unit: str, window: int, gram: int, within: bool, automata: bool, most: int = 4096, keep: bool = False, carry: list[str] | None = None) -> DataFrame:
     """What to remove of each document so that each window of ``window`` symbols stays where it occurs first.
 
     ``unit``: "bytes" of the UTF-8 text, or "words".  ``within``: an earlier start in
     the same document counts too; otherwise only a smaller doc_id does.  ``most``:
     anchors with more contexts than this go by window, not through an automaton.
-    With ``keep`` the remaining text follows (whole UTF-8 characters).
+    With ``keep`` the remaining text follows (whole UTF-8 characters; null if it was
+    null), with ``carry`` a struct ``rest`` of these columns.
 
     A null text is empty; a null doc_id comes after every other; rows that share
     a doc_id are not earlier than one another across blocks.
     """
-    packed = C.blocks(docs, BLOCK)
+    packed = C.blocks(docs, BLOCK, carry)
     parts = C.parts_for(packed)
     answers = C.gathered(C.each_block(packed, _first_pass(unit, window, gram, parts), C.EVENTS, C.ARROW_EVENTS), _decide(automata, most))
     answers = C.checkpointed(answers)
@@ -385,29 +387,41 @@ def repeated(docs: DataFrame, unit: str, window: int, gram: int, within: bool, a
             digests.append(hashlib.sha256(left).hexdigest())
             if keep:
                 kept.append(left.decode("utf-8", "ignore"))
+        if keep:
+            kept = [None if x else k for x, k in zip(rows["text"].is_null().to_pylist(), kept, strict=True)]
         cols = [rows["doc_id"], np.diff(off), total[off[1:]] - total[off[:-1]], spans[off[1:]] - spans[off[:-1]], digests, *([kept] * keep)]
-        return pa.Table.from_arrays([pa.array(x, t) if not isinstance(x, pa.ChunkedArray) else x.combine_chunks() for x, t in zip(cols, kinds, strict=True)], names=names)
+        out = pa.Table.from_arrays([pa.array(x, t) if not isinstance(x, pa.ChunkedArray) else x.combine_chunks() for x, t in zip(cols, kinds, strict=True)], names=names)
+        return out.append_column("rest", rows["rest"]) if carry else out
 
-    return C.answered(packed, answers, work, "doc_id long, n_symbols long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep)
+    schema = T.StructType.fromDDL("doc_id long, n_symbols long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep)
+    if carry:
+        schema = schema.add("rest", T.StructType([docs.schema[c] for c in carry]))
+    return C.answered(packed, answers, work, schema)
 
 
-def suffix_array_dedup(docs: DataFrame, window: int = 50, gram: int = 20, keep: bool = False) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, window: int = 50, gram: int = 20, keep: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Depth-limited radix sort over bytes: windows of ``window`` bytes that start in a smaller doc_id go."""
-    return repeated(docs, "bytes", window, gram, within=False, automata=False, keep=keep).withColumnRenamed("n_symbols", "n_bytes")
+    return repeated(docs, "bytes", window, gram, within=False, automata=False, keep=keep, carry=carry).withColumnRenamed("n_symbols", "n_bytes")
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 8, most: int = 4096, keep: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, gram: int = 8, most: int = 4096, keep: bool = False, carry: list[str] | None = None) -> DataFrame:
     """Suffix automata over words: windows of ``window`` words that start earlier go.
 
     One automaton of the whole corpus has no bounded size and cannot be broadcast.
     The reference is sharded by anchor instead: what can match an anchor's windows
     is streamed through the automaton of the earlier spans of that anchor.
     """
-    return repeated(docs, "words", window, gram, within=True, automata=True, most=most, keep=keep).withColumnRenamed("n_symbols", "n_words").drop("n_spans")
+    return repeated(docs, "words", window, gram, within=True, automata=True, most=most, keep=keep, carry=carry).withColumnRenamed("n_symbols", "n_words").drop("n_spans")
 
 
-def with_kept(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents with what is left of their texts; those without text left go."""
-    left = found.where(F.length("kept") > 0).select("doc_id", F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"))
-    rest = docs.drop("text", "n_chars")
-    return rest.join(left, "doc_id").select(*docs.columns)
+def without_repeats(docs: DataFrame, window: int = 50, gram: int = 20) -> DataFrame:
+    """The documents (columns of ``docs``) with what is left of their texts; those of which nothing is left go.
+
+    ``n_chars``, where there is one, is counted anew for texts that changed.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = suffix_array_dedup(docs, window, gram, keep=True, carry=rest).where((F.col("n_removed") == 0) | (F.length("kept") > 0))
+    same = F.col("n_removed") == 0
+    names = {"doc_id": F.col("doc_id"), "text": F.col("kept")}
+    names |= {c: F.when(same, F.col(f"rest.`{c}`")).otherwise(F.length("kept")) if c == "n_chars" else F.col(f"rest.`{c}`") for c in rest}
+    return found.select(*(names[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))

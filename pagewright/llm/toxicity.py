@@ -119,6 +119,40 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
     return fit([(int(r.toxic > 0), sentences(r.text)) for r in rows], ratio)
 
 
+def rated(texts: list[str | None], model: Model, cache: dict[str, float]) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """Of each text: its score, start and length of its worst sentence, and that one's score."""
+    bounds, sums, worst, bias = [0], [], [], model.bias
+    if len(cache) > CACHE:
+        cache.clear()
+    for text in texts:
+        low = (text or "").lower()
+        found = []
+        for s in SENTENCE.split(low):
+            total = bias
+            for w in set(WORD.findall(s)):
+                try:
+                    total += cache[w]
+                except KeyError:
+                    cache[w] = x = model.word(w)
+                    total += x
+            found.append(total)
+        sums += found
+        bounds.append(len(sums))
+        k, at = max(range(len(found)), key=found.__getitem__), 0
+        for n, m in enumerate(SENTENCE.finditer(low)):
+            if n == k:
+                worst.append((at, m.start() - at))
+                break
+            at = m.end()
+        else:
+            worst.append((at, len(low) - at))
+    z = np.array(sums)
+    if not len(z):
+        return z, worst, z
+    none, top = np.add.reduceat(np.logaddexp(0, z), bounds[:-1]), np.maximum.reduceat(z, bounds[:-1])
+    return -np.expm1(-none), worst, 1 / (1 + np.exp(-np.clip(top, -700, 700)))
+
+
 def score(docs: DataFrame, model: Model, modulus: int = 5, held_out: int = 0) -> DataFrame:
     """Score every whole text and locate its worst sentence (start, length and score, in characters).
 
@@ -128,56 +162,36 @@ def score(docs: DataFrame, model: Model, modulus: int = 5, held_out: int = 0) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        bias = model.bias
         for batch in batches:
-            if len(cache) > CACHE:
-                cache.clear()
-            bounds, sums, worst = [0], [], []
-            for text in batch["text"].to_pylist():
-                low = (text or "").lower()
-                at = 0
-                found = []
-                for s in SENTENCE.split(low):
-                    total = bias
-                    for w in set(WORD.findall(s)):
-                        try:
-                            total += cache[w]
-                        except KeyError:
-                            cache[w] = x = model.word(w)
-                            total += x
-                    found.append(total)
-                sums += found
-                bounds.append(len(sums))
-                k = max(range(len(found)), key=found.__getitem__)
-                for n, m in enumerate(SENTENCE.finditer(low)):
-                    if n == k:
-                        worst.append((at, m.start() - at))
-                        break
-                    at = m.end()
-                else:
-                    worst.append((at, len(low) - at))
-            z = np.array(sums)
-            none = np.add.reduceat(np.logaddexp(0, z), bounds[:-1]) if len(z) else np.zeros(0)
-            top = np.maximum.reduceat(z, bounds[:-1]) if len(z) else np.zeros(0)
-            value = -np.expm1(-none)
-            keys = batch["doc_id"].to_pylist()
+            value, worst, top = rated(batch["text"].to_pylist(), model, cache)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
-                    pa.array([C.crc(x) % modulus == held_out for x in keys], pa.bool_()),
-                    pa.array(value),
-                    pa.array((value >= 0.5).astype(np.int32)),
+                    pa.array([C.crc(x) % modulus == held_out for x in batch["doc_id"].to_pylist()], pa.bool_()),
+                    pa.array(value, pa.float64()),
+                    pa.array((value >= 0.5).astype(np.int32), pa.int32()),
                     pa.array([w[0] for w in worst], pa.int64()),
                     pa.array([w[1] for w in worst], pa.int64()),
-                    pa.array(1 / (1 + np.exp(-np.clip(top, -700, 700)))),
+                    pa.array(top, pa.float64()),
                 ],
                 names=["doc_id", "held_out", "score", "predicted", "worst_start", "worst_length", "worst_score"],
             )
 
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, worst_start long, worst_length long, worst_score double")
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text scores below the threshold, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, float] = {}
+        for batch in batches:
+            yield batch.filter(pa.array(rated(batch["text"].to_pylist(), model, cache)[0] < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, sample: int = 2500) -> DataFrame:
     """Learn from ``labels`` outside the held-out fold, then score all of ``docs``."""
     return score(docs, learn(docs, labels, modulus, held_out, sample), modulus, held_out)
