@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SETTINGS = ((24, 1 / 8), (48, 1 / 4), (24, 1 / 3), (48, 1 / 2))
-KEEP, LATER, TEXT = 300_000, 200_000, 1 << 18
-MARKS, GAP = ".,;:!?", " \0 "
+KEEP, LATER, TEXT = 500_000, 250_000, 1 << 18
+MARKS = ".,;:!?"
 
 
 class Encoder:
@@ -45,25 +45,33 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers.normalizers import Sequence
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # words of letters a-z only stay as they are up to the merges
+        self.plain.normalizer, self.plain.pre_tokenizer = Sequence([]), WhitespaceSplit()
         self.known, self.first = {"": b""}, None
-        self.gap = self.tokenizer.encode("\0", add_special_tokens=False).ids
-        if len(self.gap) != 1:
-            raise ValueError("the tokenizer has no id of its own for a zero byte")
         self._encode(list(MARKS))
 
     def _encode(self, words: list[str]) -> None:
-        """Many words at a time, with a mark between them whose ids no other word can have."""
+        """Many words at a time, with a mark between them that none of them holds."""
         odd = [w for w in words if "\0" in w or "<|" in w]
         for w in odd:
             self.known[w] = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
-        words = [w for w in words if w not in self.known] if odd else words
+        plain = [w for w in words if w.isascii() and w.isalpha() and w.islower()]
+        skip = {*odd, *plain}
+        self._joined(self.plain, plain, "!")
+        self._joined(self.tokenizer, [w for w in words if w not in skip], "\0")
+
+    def _joined(self, tokenizer, words: list[str], gap: str) -> None:
         joined = [words[k : k + 50] for k in range(0, len(words), 50)]
-        for some, found in zip(joined, self.tokenizer.encode_batch_fast([GAP.join(x) for x in joined], add_special_tokens=False), strict=True):
+        mark = self.tokenizer.encode(gap, add_special_tokens=False).ids
+        for some, found in zip(joined, tokenizer.encode_batch_fast([f" {gap} ".join(x) for x in joined], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
-            cut = np.flatnonzero(ids == self.gap[0]).tolist()
+            cut = np.flatnonzero(ids == mark[0]).tolist()
             data = ids.tobytes()
-            if len(cut) != len(some) - 1:
+            if len(mark) != 1 or len(cut) != len(some) - 1:
                 raise RuntimeError("words and token ids do not match")
             self.known.update(zip(some, (data[4 * lo + 4 : 4 * hi] for lo, hi in zip([-1, *cut], [*cut, len(ids)], strict=True)), strict=True))
 
