@@ -29,7 +29,7 @@ from . import common as C
 from .components import components
 
 SPARE = 2  # words of a sketch beyond the pigeonhole bound
-BITS = 1024
+MOST_BITS = 1 << 16
 ROWS = 20  # bits of a document's row in its block
 SHORT = np.uint64(16)  # bits of a hash that are left out on the way: of a bucket's key, of a shingle in a comparison
 
@@ -118,30 +118,43 @@ def _pairs(own: list[int], arrays: list[list[np.ndarray]]) -> tuple[np.ndarray,
     return pairs[:, 0].copy(), pairs[:, 1].copy()
 
 
-def sketches(s: Sets) -> np.ndarray:
-    """``BITS`` bits for each document, one flipped by each shingle, as 64-bit words."""
-    doc = np.repeat(np.arange(len(s.n)), s.n)
-    out = np.zeros(len(s.n) * BITS // 64, np.uint64)
-    h = C.mix(s.hashes)
-    np.bitwise_xor.at(out, doc * (BITS // 64) + ((h >> np.uint64(6)) % np.uint64(BITS // 64)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    return out.reshape(len(s.n), -1)
+def sketches(s: Sets) -> list[bytes]:
+    """Of each document: a power of two of bits, two for each shingle or more; each shingle flips one."""
+    widths = np.clip(2 ** np.ceil(np.log2(np.maximum(2 * s.n, 1))).astype(np.int64), 256, MOST_BITS) // 64
+    first = np.concatenate(([0], np.cumsum(widths)))
+    doc, h = np.repeat(np.arange(len(s.n)), s.n), C.mix(s.hashes)
+    out = np.zeros(int(first[-1]), np.uint64)
+    np.bitwise_xor.at(out, first[doc] + ((h >> np.uint64(6)).astype(np.int64) & (widths[doc] - 1)), np.uint64(1) << (h & np.uint64(63)))
+    return [out[lo:hi].tobytes() for lo, hi in zip(first[:-1], first[1:], strict=True)]
 
 
-def spanning(words: np.ndarray, size: np.ndarray, side: np.ndarray, same: bool, bands: Bands, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+def folded(words: list[np.ndarray], width: int) -> np.ndarray:
+    """Sketches brought to one width; shorter ones, which stay apart, as zeros."""
+    out = np.zeros((len(words), width), np.uint64)
+    for k, x in enumerate(words):
+        if len(x) >= width:
+            out[k] = np.bitwise_xor.reduce(x.reshape(-1, width), axis=0)
+    return out
+
+
+def spanning(words: list[np.ndarray], size: np.ndarray, side: np.ndarray, same: bool, bands: Bands, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose sketches differ in few enough bits and, given sets, whose sets do.
 
     Pairs that are connected already are not compared.
     """
     n, out = len(words), []
-    label = np.arange(n)
+    label, width = np.arange(n), np.array([len(x) for x in words])
+    at = {int(w): folded(words, int(w)) for w in np.unique(width)}
     for a in range(n - 1):
         other = a + 1 + np.flatnonzero(label[a + 1 :] != label[a])
         if not same:
             other = other[side[other] != side[a]]
-        if not len(other):
-            continue
-        most = bands.most(size[a], size[other])
-        far = np.maximum(np.bitwise_count(words[other] ^ words[a]).sum(axis=1, dtype=np.int64), np.abs(size[other] - size[a]))
+        most, far = bands.most(size[a], size[other]), np.abs(size[other] - size[a])
+        other, most, far = other[far <= most], most[far <= most], far[far <= most]
+        shared = np.minimum(width[other], width[a])
+        for w in np.unique(shared).tolist():
+            some = shared == w
+            far[some] = np.maximum(far[some], np.bitwise_count(at[w][other[some]] ^ at[w][a]).sum(axis=1, dtype=np.int64))
         near = np.flatnonzero(far <= most)
         for x in near[np.argsort(far[near], kind="stable")].tolist():
             b = int(other[x])
@@ -171,7 +184,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int = 102
 
     def describe(block: int, rows: pa.Table) -> Iterator[dict]:
         s = Sets(rows, width)
-        yield {"place": np.int64(block) << ROWS | np.arange(len(s.n)), "doc_id": rows["doc_id"].to_pylist(), "n_shingles": s.n, "vertex": s.vertex, "sketch": [x.tobytes() for x in sketches(s)]}
+        yield {"place": np.int64(block) << ROWS | np.arange(len(s.n)), "doc_id": rows["doc_id"].to_pylist(), "n_shingles": s.n, "vertex": s.vertex, "sketch": sketches(s)}
 
     schema = "place long, doc_id long, n_shingles long, vertex long, sketch binary"
     arrow = pa.schema([*((x.split()[0], pa.int64()) for x in schema.split(", ")[:-1]), ("sketch", pa.binary())])
@@ -239,14 +252,14 @@ def _linked(members: DataFrame, bands: Bands, heavy: int, parts: int) -> DataFra
     def compare(table):
         pair, vertex, n, side, same = (table[x].to_numpy() for x in ("pair", "vertex", "n", "side", "same"))
         order = np.lexsort((vertex, pair))
-        words = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(order), -1)
+        words = [np.frombuffer(x, np.uint64) for x in table["sketch"].to_pylist()]
         blobs, out = table["s"] if exact else None, ([], [])
         start = np.append(C.runs(pair[order]), len(order))
         for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
             if hi - lo > 1:
                 at = order[lo:hi]
                 own = [C.unpack(blobs[int(k)].as_buffer().to_pybytes())[0] for k in at] if exact else None
-                for a, b in spanning(words[at], n[at], side[at], bool(same[at[0]]), bands, own):
+                for a, b in spanning([words[k] for k in at], n[at], side[at], bool(same[at[0]]), bands, own):
                     out[0].append(int(vertex[at[a]]))
                     out[1].append(int(vertex[at[b]]))
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
