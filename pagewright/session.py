@@ -1,11 +1,12 @@
-"""Local sessions for tests and benchmarks; a cluster brings its own."""
+"""Local sessions for tests and benchmarks (a cluster brings its own), and checkpoints in the shared folder."""
 
 from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -22,3 +23,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Rows written to the session's checkpoint folder; one is made only where the session names none."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint(eager=True)
