@@ -10,7 +10,6 @@ memory is bounded by the block and part sizes, whatever the input.
 from __future__ import annotations
 
 import struct
-import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpointed  # noqa: F401  (part of this module's interface)
+
 BLOCK_BYTES = 16 << 20
 NULL_ID = np.iinfo(np.int64).max
 EVENTS = "part long, block long, blob binary"
@@ -32,18 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; one is set here only
-    where the session names none.
-    """
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def fold(key: str, modulus: int):
     """crc32 of the id's text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
