@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,44 +49,54 @@ class Model:
         return sum(get(f, 0.0) for f in features(word))
 
 
-def fit(bags: list[tuple[int, list[list[str]]]], negative_weight: float = 1.0, rounds: int = 300, l1: float = 5e-5, rate: float = 0.8, least: int = 3) -> Model:
+def fit(bags: Iterable[tuple[int, list[list[str]]]], negative_weight: float = 1.0, rounds: int = 300, l1: float = 5e-5, rate: float = 0.8, least: int = 3) -> Model:
     """Proximal Adagrad on the noisy-or likelihood of bags (label, sentences of words).
 
     Weights are at least 0: no clean word makes up for an offending one.  Features of fewer than ``least`` bags are left out.  Without both labels the
     bias alone is fitted.
     """
-    labels = np.array([y for y, _ in bags], float)
+    vocabulary: dict[str, int] = {}
+    labels, ids, per_sentence, bag_of = [], [], [], []
+    for k, (y, sentences_) in enumerate(bags):
+        labels.append(float(y))
+        for words in sentences_:
+            own = [vocabulary.setdefault(w, len(vocabulary)) for w in set(words)]
+            ids.append(np.array(own, np.int32))
+            per_sentence.append(len(own))
+            bag_of.append(k)
+    labels = np.array(labels)
     weight = np.where(labels > 0, 1.0, negative_weight)
-    rate_pos = (weight * labels).sum() / max(1e-9, weight.sum()) if len(bags) else 0.0
+    rate_pos = (weight * labels).sum() / max(1e-9, weight.sum())
     if not 0 < rate_pos < 1:
         return Model(-12.0 if rate_pos == 0 else 12.0, {})
-    known: dict[str, list[int]] = {}
-    ids, sentence, bag_of = [], [], []
-    for k, (_, sentences) in enumerate(bags):
-        for words in sentences:
-            own = [f for w in set(words) for f in (known.get(w) or known.setdefault(w, features(w)))]
-            ids.append(np.fromiter(own, np.int64, len(own)))
-            sentence.append(np.full(len(own), len(bag_of)))
-            bag_of.append(k)
-    ids, sentence, bag_of = np.concatenate(ids), np.concatenate(sentence), np.array(bag_of)
-    pairs = np.unique(ids * len(bags) + bag_of[sentence])
-    seen = np.bincount(pairs // len(bags), minlength=1 << BITS)
+    n_bags, bag_of = len(labels), np.array(bag_of, np.int32)
+    sentence, ids = np.repeat(np.arange(len(bag_of), dtype=np.int32), per_sentence), np.concatenate(ids)
+    own = [features(w) for w in vocabulary]
+    first = np.concatenate(([0], np.cumsum([len(f) for f in own])))
+    feature = np.concatenate([np.array(f, np.int32) for f in own])
+    word = np.repeat(np.arange(len(own), dtype=np.int32), np.diff(first))
+    n_words = len(own)
+    del own, vocabulary
+    seen, edges = np.zeros(1 << BITS, np.int32), np.searchsorted(bag_of[sentence], np.arange(n_bags + 1))
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        words = np.unique(ids[lo:hi])
+        seen[np.unique(feature[C.ranges(first[words], first[words + 1])])] += 1
     used = np.flatnonzero(seen >= least)
-    short = np.full(1 << BITS, -1)
+    short = np.full(1 << BITS, -1, np.int32)
     short[used] = np.arange(len(used))
-    keep = short[ids] >= 0
-    ids, sentence = short[ids[keep]], sentence[keep]
+    keep = short[feature] >= 0
+    feature, word = short[feature[keep]], word[keep]
     theta, square = np.zeros(len(used)), np.full(len(used), 1e-6)
-    per_bag = np.bincount(bag_of, minlength=len(bags)).mean()
+    per_bag = np.bincount(bag_of, minlength=n_bags).mean()
     bias, bias_square = float(np.log(rate_pos / per_bag)) - 3, 1e-6
     for _ in range(rounds):
-        z = bias + np.bincount(sentence, theta[ids], minlength=len(bag_of))
+        of_word = np.bincount(word, theta[feature], minlength=n_words)
+        z = bias + np.bincount(sentence, of_word[ids], minlength=len(bag_of))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        total = np.bincount(bag_of, np.logaddexp(0, z), minlength=len(bags))
-        none = np.exp(-total)
+        none = np.exp(-np.bincount(bag_of, np.logaddexp(0, z), minlength=n_bags))
         slope = np.where(labels > 0, -none / np.maximum(1 - none, 1e-9), 1.0) * weight / weight.sum()
         g = slope[bag_of] * p
-        grad = np.bincount(ids, g[sentence], minlength=len(used))
+        grad = np.bincount(feature, np.bincount(ids, g[sentence], minlength=n_words)[word], minlength=len(used))
         square += grad**2
         step = rate / np.sqrt(square)
         theta = np.maximum(theta - step * (grad + l1), 0)
@@ -116,7 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
     rows = sorted(rows.collect(), key=lambda r: r.doc_id)
     n = [min(count.get(k, 0), sample) for k in (0, 1)]
     ratio = (count.get(0, 0) / n[0]) / (count.get(1, 0) / n[1]) if all(n) else 1.0
-    return fit([(int(r.toxic > 0), sentences(r.text)) for r in rows], ratio)
+    return fit(((int(r.toxic > 0), sentences(r.text)) for r in rows), ratio)
 
 
 def rated(texts: list[str | None], model: Model, cache: dict[str, float]) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
