@@ -12,6 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def start_runs(runs: DataFrame, started: DataFrame) -> DataFrame:
+    """Runs and those that start; ids come from the caller."""
+    return runs.unionByName(started, allowMissingColumns=True)
+
+
 def end_runs(runs: DataFrame, ended: DataFrame) -> DataFrame:
     """``ended`` (id, end_time) closes runs; duration is end minus start."""
     ended = ended.select("id", F.col("end_time").alias("_end"))
@@ -25,6 +30,15 @@ def insert_sessions(pages: DataFrame, found: DataFrame) -> DataFrame:
     return pages.join(counts, "id", "left").withColumn("found_count", F.coalesce("found_count", F.lit(0)))
 
 
+def session_fields(sessions: DataFrame, rows: DataFrame, fields: Sequence[str], unavailable: Sequence[str] = ()) -> DataFrame:
+    """Detail sessions (id): found_count is how many fields their record (session_id) has."""
+    from ..functions.scalars import empty_fields
+
+    wanted = [f for f in fields if f not in unavailable]
+    filled = rows.groupBy(F.col("session_id").alias("id")).agg(F.max(F.lit(len(wanted)) - empty_fields(wanted)).alias("found_count"))
+    return update(sessions, filled, "id", ["found_count"])
+
+
 def update(table: DataFrame, changes: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Rows of ``table`` with the columns of matching ``changes``, also where those are null."""
     changes = changes.select(key, F.lit(True).alias("_hit"), *(F.col(c).alias(f"_{c}") for c in columns))
@@ -61,6 +75,35 @@ def append_new(records: DataFrame, rows: DataFrame, order: Sequence[Column | str
     return records.unionByName(fresh, allowMissingColumns=True)
 
 
+def save(records: DataFrame, prices: DataFrame, sessions: DataFrame, seen: DataFrame, domain: str, url: str, session_id: int, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """A page's records put into the catalog: records and prices after it.
+
+    ``seen`` has alias, price, image_link, image_hash and any columns of records, in
+    the order of ``pos``.  Aliases get the domain in front; the first row of each
+    counts.  New ones get the next ids, stored ones an image if they had none; all
+    get a price.  Sold ones that were seen are unsold, unsold ones of the page that
+    weren't are sold.
+    """
+    from ..functions.links import namespaced
+    from .numbering import numbered
+
+    rows = first_by_alias(seen.withColumn("alias", namespaced(F.col("alias"), F.lit(domain))).where("alias IS NOT NULL"), ["pos"])
+    top = records.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh, _ = numbered(new_only(rows, records), ["pos", "alias"])
+    fresh = fresh.withColumns({"id": F.col("position") + top + 1, "session_id": F.lit(session_id).cast("long"), "date_created": as_of, "date_sold": F.lit(None).cast("timestamp")})
+    known = [c for c in records.columns if c in fresh.columns]
+    stored = with_ids(rows, records).where("id IS NOT NULL").select("id", "image_link", "image_hash")
+    out = fill_images(records, stored).unionByName(fresh.select(*known), allowMissingColumns=True)
+    ids = with_ids(rows.select("alias"), out).select("id")
+    out = mark_sold(mark_reappeared(out, sessions, ids, url), sessions, ids, url, as_of)
+    return out, append_prices(prices, rows.select("alias", "price"), out.select("id", "alias"), F.lit(session_id).cast("long"), as_of)
+
+
+def page_status(sessions: DataFrame, least: int) -> DataFrame:
+    """``result`` of each page: too few records asks for another try."""
+    return sessions.withColumn("result", F.when(F.col("found_count") < least, "too few records").otherwise("ok"))
+
+
 def fill_images(records: DataFrame, seen: DataFrame) -> DataFrame:
     """Image link and hash of seen rows, for records that have no image yet."""
     seen = seen.where("image_link IS NOT NULL").groupBy("id").agg(F.min(F.struct("image_link", "image_hash")).alias("_i"))

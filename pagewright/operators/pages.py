@@ -96,6 +96,26 @@ def paths(nodes_: DataFrame) -> DataFrame:
     return both.groupBy("page_id", "node_id").agg(ordered.alias("path"))
 
 
+def own_texts(nodes_: DataFrame) -> DataFrame:
+    """Each element's own text, without that of the elements in it."""
+    texts = nodes_.where("kind = 'text' AND parent_id IS NOT NULL").groupBy("page_id", F.col("parent_id").alias("node_id"))
+    return texts.agg(F.trim(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]))).alias("text"))
+
+
+def corpus_text(nodes_: DataFrame) -> DataFrame:
+    """A page's texts, each stripped, one after another; runs of blanks become one."""
+    texts = nodes_.where("kind = 'text'").groupBy("page_id")
+    joined = F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("node_id", "text"))), lambda x: F.trim(x["text"])))
+    return texts.agg(F.regexp_replace(joined, r"(?U)\s+", " ").alias("text"))
+
+
+def vocabulary(texts: DataFrame, most: int) -> DataFrame:
+    """The most frequent words of two letters or more, accents taken off, with their counts."""
+    plain = F.translate(F.lower("text"), "áàâäãåéèêëíìîïóòôöõúùûüçñ", "aaaaaaeeeeiiiiooooouuuucn")
+    words = texts.select(F.explode(F.regexp_extract_all(plain, F.lit(r"(?U)\b(\w\w+)\b"))).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+
+
 def tree_distance(a: Column, b: Column) -> Column:
     """Steps between two path arrays: 0 the same, 1 siblings."""
     shorter = F.least(F.size(a), F.size(b))

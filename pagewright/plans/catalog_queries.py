@@ -315,3 +315,33 @@ def records_with_images(spark, sf_dir):
     from ..sources.tables import records_with_images as found
 
     return found(view(spark, sf_dir, "records"), view(spark, sf_dir, "sessions"), "2-HIGH", "F", ("link",)).select("id")
+
+
+@query(
+    with_views(
+        """SELECT r.id, r.alias, CASE WHEN s.id IS NULL THEN strftime(r.date_sold, '%Y-%m-%d') WHEN r.date_sold IS NOT NULL AND n.alias IS NOT NULL THEN NULL
+        WHEN r.date_sold IS NULL AND n.alias IS NULL THEN '1998-05-31' ELSE strftime(r.date_sold, '%Y-%m-%d') END AS date_sold, coalesce(p.n, 0) + (CASE WHEN n.alias IS NULL THEN 0 ELSE 1 END) AS prices
+        FROM records r LEFT JOIN (SELECT id FROM sessions WHERE url = 'https://1.example.com/F/') s ON s.id = r.session_id LEFT JOIN (SELECT concat('part_', CAST(p_partkey AS VARCHAR)) AS alias FROM part WHERE p_partkey % 4 <> 1) n ON n.alias = r.alias
+        LEFT JOIN (SELECT record_id, count(*) AS n FROM prices GROUP BY record_id) p ON p.record_id = r.id
+        UNION ALL SELECT 1 + (SELECT max(p_partkey) FROM part), 'part_new', NULL, 1"""
+    )
+)
+def save_page(spark, sf_dir):
+    """One page's records saved: new, stored, sold and reappeared ones, and their numbers of prices."""
+    parts = table(spark, sf_dir, "part")
+    rows = parts.where("p_partkey % 4 <> 1").select(F.col("p_partkey").cast("string").alias("alias"), F.col("p_partkey").alias("pos"))
+    rows = rows.unionByName(spark.range(1).select(F.lit("new").alias("alias"), F.lit(-1).cast("long").alias("pos")))
+    rows = rows.withColumns({"price": F.lit(1.0), "image_link": F.lit(None).cast("string"), "image_hash": F.lit(None).cast("string")})
+    records = view(spark, sf_dir, "records").withColumn("image_hash", F.lit(None).cast("string"))
+    out, prices = catalog.save(records, view(spark, sf_dir, "prices"), view(spark, sf_dir, "sessions"), rows, "part", "https://1.example.com/F/", 777, as_of())
+    counts = prices.groupBy(F.col("record_id").alias("id")).agg(F.count("*").alias("prices"))
+    return out.join(counts, "id", "left").select("id", "alias", day("date_sold"), F.coalesce("prices", F.lit(0)).alias("prices"))
+
+
+@query(f"SELECT cache_type, id FROM ({CACHE_SQL}) WHERE date IS NULL OR date >= DATE '2024-01-30' - 10 UNION ALL SELECT 'ALL', 0")
+def cache_refreshed(spark, sf_dir):
+    from ..operators import api
+
+    cache = _cache(spark, sf_dir)
+    new = spark.range(1).select(F.lit(0).cast("long").alias("id"), F.lit("ALL").alias("cache_type"), F.lit(None).cast("date").alias("date"), F.lit("x").alias("data"))
+    return api.refreshed(cache, new, F.lit("2024-01-30").cast("date"), 10).select("cache_type", "id")

@@ -330,3 +330,14 @@ def pager_candidates(spark, sf_dir):
     pager = F.concat(F.lit('<div class="pager"><a>'), F.replace(steps, F.lit(" "), F.lit("</a><a>")), F.lit("</a></div>"))
     pages = table(spark, sf_dir, "pages").withColumn("html", F.concat("html", pager))
     return P.next_buttons(pages, current=1, most=10, classes=("pager",))
+
+
+@query()
+def own_texts(spark, sf_dir):
+    return P.own_texts(P.nodes(table(spark, sf_dir, "pages")))
+
+
+@query()
+def page_vocabulary(spark, sf_dir):
+    """The hundred most frequent words of all pages' texts: a report."""
+    return P.vocabulary(P.corpus_text(P.nodes(table(spark, sf_dir, "pages"))), 100)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,3 +37,23 @@ class Config:
 
     def of_type(self, name: str, kind: str, default: object = None) -> object:
         return self.get(name, f"{kind}_scraper_settings", default)
+
+
+@dataclass(frozen=True)
+class WorkItem:
+    """One page to fetch; only detail pages are translated unless said otherwise."""
+
+    domain: str
+    locale: str
+    url: str
+    kind: str = "catalog"
+    translate: bool | None = None
+    proxy: bool = False
+    ignore_min: bool = False
+    ignored_cleaning_steps: tuple[str, ...] = ()
+
+    def __post_init__(self):
+        if self.kind not in ("catalog", "vdp", "catalog_static", "test"):
+            raise ValueError(f"unknown kind of page {self.kind}")
+        if self.translate is None:
+            object.__setattr__(self, "translate", self.kind == "vdp")

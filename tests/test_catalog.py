@@ -141,3 +141,49 @@ def test_cache(spark, tmp_path):
     serving.write_cache(cache, path)
     serving.write_cache(cache.where("id = 2").withColumn("data", F.lit("newer")), path)
     assert {r.id: r.data for r in spark.read.parquet(path).collect()} == {1: "x", 2: "newer", 3: "z"}
+
+
+def test_save(spark, records, sessions):
+    prices = spark.createDataFrame([], "record_id long, price double, session_id long, date_created timestamp")
+    rows = [("a", 1.0, 0, "i1"), ("a", 9.0, 1, "i9"), ("c", 2.0, 2, None), ("z", 3.0, 3, "i3"), ("", 4.0, 4, None), (None, 5.0, 5, None), ("y", 6.0, 6, None)]
+    seen = spark.createDataFrame(rows, "alias string, price double, pos int, image_link string").withColumn("image_hash", F.lit("h"))
+    out, price = catalog.save(records, prices, sessions, seen, "d", "http://u", 10, now())
+    got = {r.id: (r.alias, r.image_link, r.date_sold) for r in out.collect()}
+    assert got[1] == ("d_a", "i1", None) and got[3] == ("d_c", None, None) and got[2] == ("d_b", "i", T("2024-05-16T12:00"))
+    assert got[4] == ("d_d", None, None) and got[6] == ("d_z", "i3", None) and got[7] == ("d_y", None, None) and len(got) == 7
+    assert {(r.record_id, r.price) for r in price.collect()} == {(1, 1.0), (3, 2.0), (6, 3.0), (7, 6.0)}
+
+
+def test_sessions_by_fields(spark):
+    s = spark.createDataFrame([(1, 0), (2, 0)], "id int, found_count int")
+    rows = spark.createDataFrame([(1, "a", "", "c")], "session_id int, a string, b string, c string")
+    assert {r.id: r.found_count for r in catalog.session_fields(s, rows, ["a", "b", "c"], ["c"]).collect()} == {1: 1, 2: 0}
+    assert [r.result for r in catalog.page_status(s.withColumn("found_count", F.col("id")), 2).orderBy("id").collect()] == ["too few records", "ok"]
+    runs = spark.createDataFrame([(1, "x")], "id int, scheduler_id string")
+    assert catalog.start_runs(runs, runs.withColumn("id", F.lit(2))).count() == 2
+
+
+def test_api(spark):
+    from pagewright.operators import api
+
+    rows = spark.createDataFrame([(2, "b"), (1, "a")], "id int, v string")
+    assert [r.v for r in api.one_page("records", rows, ["id"], 1, 1).rows.collect()] == ["a"]
+    for page, size in ((3, 1), (0, 1), (1, 0)):
+        with pytest.raises(api.BadRequest):
+            api.one_page("records", rows, ["id"], page, size)
+    day = F.lit("2024-05-17").cast("date")
+    assert api.valid_day("2024-05-16'", day, rows) == "2024-05-16" and api.valid_day(None, day, rows) is None
+    with pytest.raises(api.BadRequest):
+        api.valid_day("2024-05-17", day, rows)
+    cache = api.entry(rows, "ALL", F.lit(None), ["id"])
+    assert [r.v for r in api.cached_first(cache, "ALL", None, lambda: rows.limit(0)).collect()] == ["a", "b"]
+    assert api.cached_first(cache, "DAILY", "2024-05-01", lambda: rows.limit(1)).count() == 1
+    assert api.refreshed(cache, api.entry(rows, "ALL", F.lit("2024-05-01"), ["id"]), day, 3).count() == 2
+
+
+def test_work_items():
+    from pagewright.sources.settings import WorkItem
+
+    assert WorkItem("d", "l", "u", "vdp").translate and not WorkItem("d", "l", "u").translate
+    with pytest.raises(ValueError, match="unknown kind"):
+        WorkItem("d", "l", "u", "x")

@@ -187,6 +187,14 @@ def test_text_rules_as_columns_agree_with_the_tree(spark):
     assert df.select(column_tagging.tag_attributes(F.col("m"), rule)).first()[0] == {"href": "a $K$ b $K$", "id": "x"}
 
 
+def test_texts_of_nodes(spark):
+    nodes = pages.nodes(frame(spark, "<p> a <b>B</b> c</p><p>d \n\n e É</p>"))
+    assert sorted(r.text for r in pages.own_texts(nodes).collect()) == ["B", "a  c", "d \n\n e É"]
+    assert pages.corpus_text(nodes).first().text == "aBcd e É"
+    df = spark.createDataFrame([("Été été ab x",)], "text string")
+    assert [tuple(r) for r in pages.vocabulary(df, 5).collect()] == [("ete", 2), ("ab", 1)]
+
+
 def test_unknown_rule_tag():
     with pytest.raises(ValueError, match="unknown rule tags"):
         Rule("x", tags={"nonsense"})
