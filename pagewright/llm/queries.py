@@ -67,4 +67,39 @@ QUERIES: dict[str, Query] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+#: Of what SQL can express over whole tables; the rest is tested against brute-force versions.
+VALID = "vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op3_exact_top_k": f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE {VALID})
+SELECT query_id, rank, vec_id, CAST(score AS BIGINT) AS score FROM (
+    SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
+        SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.v, b.v) AS score FROM e AS a JOIN e AS b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 20 = 0))
+WHERE rank <= 20""",
+    "op5_embedding_near_dedup": f"""
+WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE {VALID} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e AS a JOIN e AS b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT a AS id, b AS r FROM links UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT d.vec_id, coalesce(n, 0) AS n_links, least(coalesce(m, d.vec_id), d.vec_id) AS component_id, least(coalesce(m, d.vec_id), d.vec_id) = d.vec_id AS kept
+FROM embeddings AS d LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = d.vec_id LEFT JOIN (SELECT id, min(r) AS m FROM reach GROUP BY id) ON id = d.vec_id""",
+    "op7_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(LOWER)} AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) < 4 THEN list_filter([array_to_string(l, ' ')], lambda x: x <> '') ELSE list_transform(range(1, len(l) - 2), lambda i: array_to_string(l[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM shared JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+reach AS (SELECT a AS id, b AS r FROM links UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(coalesce(m, d.doc_id), d.doc_id) AS component_id
+FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT id, min(r) AS m FROM reach GROUP BY id) ON id = d.doc_id""",
+    "op10_substring_dedup": f"""
+WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS l FROM documents),
+windows AS (SELECT doc_id, p, md5(array_to_string(l[p:p + 19], ' ')) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) - 18)) AS p FROM w)),
+repeats AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM windows) WHERE k > 1),
+gone AS (SELECT doc_id, list(DISTINCT p + j) AS g FROM repeats, (SELECT unnest(range(0, 20)) AS j) GROUP BY doc_id)
+SELECT w.doc_id, len(l) AS n_words, len(coalesce(g, [])) AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(l, lambda x, i: NOT list_contains(coalesce(g, []), i)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone ON gone.doc_id = w.doc_id""",
+}
