@@ -57,6 +57,24 @@ def test_against_brute_force(spark, seed, heavy):
     assert sum(got[i][1:] == want[i][1:] for i in got) >= 0.98 * len(got)
 
 
+def test_balls(spark):
+    """Crowded cells become balls; open ones are dissolved; counts stay those of all pairs."""
+    rnd = np.random.default_rng(3)
+    base, side = rnd.normal(size=(2, 24))
+    tight = [base + rnd.normal(size=24) * 0.05 for _ in range(300)]
+    loose = [base + side * x + rnd.normal(size=24) * 0.05 for x in np.linspace(0, 0.8, 60)]
+    rows = [(k, (x * rnd.uniform(0.1, 9)).tolist()) for k, x in enumerate([*loose, *tight, *rnd.normal(size=(100, 24))])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ok = neardup.vectors.valid(df).selectExpr("embedding", "vec_id AS id", "1L AS weight", "0.0D AS radius")
+    members, centres = neardup._balls(ok, neardup.Projections(0.95), 32)
+    assert members.count() > 250 and 0 < centres.count() < 60
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(df, heavy=32).collect()}
+    want = brute(rows, 0.95)
+    assert sum(n for n, *_ in got.values()) >= 0.98 * sum(n for n, *_ in want.values())
+    assert all(got[i][0] <= want[i][0] for i in got)
+    assert sum(got[i][1:] == want[i][1:] for i in got) >= 0.98 * len(got)
+
+
 def test_recall_at_the_threshold():
     rnd = np.random.default_rng(0)
     p, n = neardup.Projections(0.95), 3000
