@@ -1,6 +1,6 @@
 """Incremental extraction: a stream of pages into a catalog of records.
 
-The reference works page by page and remembers the aliases it has met; here that
+Pages come one after another, and aliases that were met count no more; here that
 memory is stream state under a watermark, and each batch is merged into a
 catalog folder whose versions are complete.
 """
