@@ -7,7 +7,9 @@ symmetric difference.  Sets are dealt to bands by size.  A band's sketches have
 more words than two similar sets can differ in, so by the pigeonhole principle
 linked sets share a word: they meet in its bucket.  (Words in which a shingle
 flips a single bit made nearly all documents meet: of words that hold one
-shingle there are only 64.)
+shingle there are only 64.)  Some words more than that are made, so that words of
+one or two shingles, in which common phrases would meet, can be left out except
+for sets that have too many of them.
 
 Equal sets are one vertex.  A bucket sends its members to its least vertex (the
 leader); all pairs among a leader's members are compared, first by the Hamming
@@ -24,12 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common as C
 from .components import components
 
-SPARE = 2  # words of a sketch beyond the pigeonhole bound
+SPARE = 15  # percent of a sketch's words beyond the pigeonhole bound
 MOST_BITS = 1 << 16
+BLOCK = 8 << 20
 ROWS = 20  # bits of a document's row in its block
 SHORT = np.uint64(16)  # bits of a hash that are left out on the way: of a bucket's key, of a shingle in a comparison
 
@@ -46,10 +51,26 @@ class Bands:
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, n, side="right") - 1
 
+    def top(self, band: np.ndarray) -> np.ndarray:
+        return np.append(self.starts[1:], self.starts[-1] * 100 // self.percent + 1)[band] - 1
+
     def differ(self, band: np.ndarray) -> np.ndarray:
         """The largest symmetric difference of a linked pair whose larger set is in the band."""
-        top = np.append(self.starts[1:], self.starts[-1] * 100 // self.percent + 1)[band] - 1
-        return self.most(top, top)
+        return self.most(self.top(band), self.top(band))
+
+    def shared(self, n: np.ndarray, band: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """How many words at least a set of this size shares with each set linked to it in a band."""
+        return words - self.most(n, np.minimum(self.top(band), n * 100 // self.percent))
+
+    @property
+    def weak(self) -> int:
+        """Words of so many shingles or fewer say little; few enough of them for sets to share others too."""
+        mean = (100 + self.percent) / (2 * (100 - self.percent)) / (1 + SPARE / 100)
+        below, term, k = 0.0, np.exp(-mean), 0
+        while (below := below + term) * (1 + SPARE / 100) <= 0.8 * SPARE / 100:
+            k += 1
+            term *= mean / k
+        return max(0, k - 1)
 
     def most(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (100 - self.percent) * (a + b) // (100 + self.percent)
@@ -87,7 +108,7 @@ class Sets:
             band = bands.of(self.n[which]) + up
             differ = bands.differ(band)
             docs, band, differ = which[differ > 0], band[differ > 0], differ[differ > 0]
-            words = differ + 1 + SPARE
+            words = differ + differ * SPARE // 100 + 3
             first = np.concatenate(([0], np.cumsum(words)))
             tokens = C.ranges(self.offsets[docs], self.offsets[docs + 1])
             of = np.repeat(np.arange(len(docs)), self.n[docs])
@@ -96,31 +117,30 @@ class Sets:
             sketch = np.zeros(int(first[-1]), np.uint64)
             np.bitwise_xor.at(sketch, at, h)
             own = np.repeat(np.arange(len(docs)), words)
-            blank = sketch == 0
-            # all words that a linked pair shares may be blank only where each of the two has as many blank ones
-            keep = ~blank | (np.bincount(own[blank], minlength=len(docs)) > SPARE)[own]
+            weak = np.bincount(at, minlength=len(sketch)) <= bands.weak
+            # all words that a linked pair shares may be weak only where each of the two has as many weak ones
+            keep = ~weak | (np.bincount(own[weak], minlength=len(docs)) >= bands.shared(self.n[docs], band, words))[own]
             place = (np.arange(len(own)) - first[own]).astype(np.uint64)
             key = C.mix(C.mix(sketch + band[own].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + place)
             out.append((key[keep], docs[own[keep]]))
         return np.concatenate([k for k, _ in out]), np.concatenate([d for _, d in out])
 
 
-def _pairs(own: list[int], arrays: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(leader, member) of each bucket with at least two documents, by place (block and row)."""
-    keys = np.concatenate([a[0] for a in arrays])
-    place = np.concatenate([np.int64(b) << ROWS | a[1].astype(np.int64) for b, a in zip(own, arrays, strict=True)])
-    order = np.lexsort((place, keys))
-    keys, place = keys[order], place[order]
+def _pairs(arrays: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(leader, member) of each bucket with at least two vertices."""
+    keys, vertex = (np.concatenate(x) for x in zip(*arrays, strict=True))
+    order = np.lexsort((vertex, keys))
+    keys, vertex = keys[order], vertex[order]
     start = C.runs(keys)
-    lead = C.spread(place[start], start, len(keys))
-    keep = place != lead
-    pairs = np.unique(np.stack((lead[keep], place[keep]), axis=1), axis=0)
+    lead = C.spread(vertex[start], start, len(keys))
+    keep = vertex != lead
+    pairs = np.unique(np.stack((lead[keep], vertex[keep]), axis=1), axis=0)
     return pairs[:, 0].copy(), pairs[:, 1].copy()
 
 
-def sketches(s: Sets) -> list[bytes]:
-    """Of each document: a power of two of bits, two for each shingle or more; each shingle flips one."""
-    widths = np.clip(2 ** np.ceil(np.log2(np.maximum(2 * s.n, 1))).astype(np.int64), 256, MOST_BITS) // 64
+def sketches(s: Sets, bits: int) -> list[bytes]:
+    """Of each document: a power of two of bits, so many for each shingle or more; each shingle flips one."""
+    widths = np.clip(2 ** np.ceil(np.log2(np.maximum(bits * s.n, 1))).astype(np.int64), 256, MOST_BITS) // 64
     first = np.concatenate(([0], np.cumsum(widths)))
     doc, h = np.repeat(np.arange(len(s.n)), s.n), C.mix(s.hashes)
     out = np.zeros(int(first[-1]), np.uint64)
@@ -170,7 +190,7 @@ def spanning(words: list[np.ndarray], size: np.ndarray, side: np.ndarray, same:
     return out
 
 
-def similar(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int = 1024) -> DataFrame:
+def similar(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int = 4096) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Documents link when their sets of ``width``-word shingles (A-Z in lower case)
@@ -179,15 +199,47 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int = 102
     smallest doc_id reachable; null ids come after every other.  Sets are told
     apart by 64-bit hashes, shingles in a comparison by 48 bits.
     """
-    packed = C.blocks(docs, 8 << 20)
+    rooted = _rooted(C.blocks(docs, BLOCK), width, percent, heavy)
+    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int = 4096) -> DataFrame:
+    """The rows of ``docs``, one of each group of similar documents: that with the smallest doc_id, null ids last.
+
+    Rows that repeat are a group; texts without words are none and stay.  Rows are
+    told apart by their place in a block, so that neither texts nor ids are joined.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = C.blocks(docs, BLOCK, rest)
+    rooted = _rooted(packed, width, percent, heavy)
+    first = rooted.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place")).alias("f")).select("f.place")
+    stays = first.unionByName(rooted.where("root is null").select("place")).select(F.shiftright("place", ROWS).alias("block"), F.col("place").bitwiseAND((1 << ROWS) - 1).alias("row"))
+    schema = T.StructType.fromDDL("doc_id long, text string")
+    if rest:
+        schema = schema.add("rest", T.StructType([docs.schema[c] for c in rest]))
+
+    def keep(key, left, right):
+        rows = C.thawed(left["blob"][0].as_buffer()) if left.num_rows else None
+        if rows is None:
+            return pa.Table.from_batches([], schema=to_arrow_schema(schema))
+        return rows.take(pa.array(np.sort(right["row"].to_numpy())))
+
+    kept = packed.groupBy("block").cogroup(stays.groupBy("block")).applyInArrow(keep, schema)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {c: F.col(f"rest.`{c}`") for c in rest}
+    return kept.select(*(own[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
+
+
+def _rooted(packed: DataFrame, width: int, percent: int, heavy: int) -> DataFrame:
+    """Each document's place, id, number of shingles and the vertex that stands for its component (null: no words)."""
     parts = C.parts_for(packed)
 
     def describe(block: int, rows: pa.Table) -> Iterator[dict]:
         s = Sets(rows, width)
-        yield {"place": np.int64(block) << ROWS | np.arange(len(s.n)), "doc_id": rows["doc_id"].to_pylist(), "n_shingles": s.n, "vertex": s.vertex, "sketch": sketches(s)}
+        yield {"place": np.int64(block) << ROWS | np.arange(len(s.n)), "doc_id": rows["doc_id"].to_pylist(), "n_shingles": s.n, "vertex": s.vertex, "coarse": sketches(s, 1), "sketch": sketches(s, 2)}
 
-    schema = "place long, doc_id long, n_shingles long, vertex long, sketch binary"
-    arrow = pa.schema([*((x.split()[0], pa.int64()) for x in schema.split(", ")[:-1]), ("sketch", pa.binary())])
+    schema = "place long, doc_id long, n_shingles long, vertex long, coarse binary, sketch binary"
+    arrow = pa.schema([*((x.split()[0], pa.int64()) for x in schema.split(", ")[:-2]), ("coarse", pa.binary()), ("sketch", pa.binary())])
     about = C.checkpointed(C.each_block(packed, describe, schema, arrow))
     largest = about.agg(F.max("n_shingles")).first()[0] or 1
     bands = Bands(percent, int(largest))
@@ -197,30 +249,27 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int = 102
         which = np.unique(s.vertex, return_index=True)[1]
         keys, doc = s.keys(np.sort(which[s.n[which] > 0]), bands)
         order = np.argsort(keys, kind="stable")
-        keys, doc = keys[order], doc[order].astype(np.uint32)
+        keys, vertex = keys[order], s.vertex[doc[order]]
         bounds = C.cut(keys, parts)
         full = [int(p) for p in np.flatnonzero(np.diff(bounds))]
-        yield {"part": full, "block": [block] * len(full), "blob": [C.pack(keys[bounds[p] : bounds[p + 1]] >> SHORT, doc[bounds[p] : bounds[p + 1]], ascending=1) for p in full]}
+        yield {"part": full, "block": [block] * len(full), "blob": [C.pack(keys[bounds[p] : bounds[p + 1]] >> SHORT, vertex[bounds[p] : bounds[p + 1]], ascending=1) for p in full]}
 
     def bucket(key, rows):
-        lead, member = _pairs(rows["block"].to_pylist(), [C.unpack(b.as_buffer().to_pybytes()) for b in rows["blob"]])
+        lead, member = _pairs([C.unpack(b.as_buffer().to_pybytes()) for b in rows["blob"]])
+        C.release()
         return pa.table({"leader": lead, "member": member})
 
     events = C.each_block(packed, emit, C.EVENTS, C.ARROW_EVENTS)
     pairs = events.groupBy("part").applyInArrow(bucket, "leader long, member long").distinct()
-    for name in ("leader", "member"):
-        pairs = pairs.withColumnRenamed(name, "place").join(about.select("place", F.col("vertex").alias(name)), "place").drop("place")
-    pairs = C.checkpointed(pairs.where("leader <> member").distinct())
+    pairs = C.checkpointed(pairs)
     groups = pairs.select(F.col("leader").alias("group"), F.col("member").alias("vertex")).unionByName(pairs.select(F.col("leader").alias("group"), F.col("leader").alias("vertex")).distinct())
-    vertices = about.where("vertex <> 0").groupBy("vertex").agg(F.min("place").alias("place"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    near = components(_linked(groups.join(vertices.drop("place"), "vertex"), bands, heavy, parts))
-    near = C.checkpointed(near.select(F.col("component").alias("group"), F.col("id").alias("vertex")).join(vertices, "vertex"))
+    vertices = about.where("vertex <> 0").groupBy("vertex").agg(F.min("place").alias("place"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("coarse").alias("coarse"))
+    near = components(_linked(groups.join(vertices.select("vertex", "n", F.col("coarse").alias("sketch")), "vertex"), bands, heavy, parts))
+    near = C.checkpointed(near.select(F.col("component").alias("group"), F.col("id").alias("vertex")).join(vertices.drop("coarse"), "vertex"))
     sets = _sets(packed, near.select("vertex", F.shiftright("place", ROWS).alias("block")), width)
     links = _linked(near.drop("place").join(sets, "vertex"), bands, heavy, parts)
     joined = components(links).withColumnRenamed("id", "vertex")
-    rooted = about.join(joined, "vertex", "left").select("doc_id", "n_shingles", F.when(F.col("vertex") != 0, F.coalesce("component", "vertex")).alias("root"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return about.join(joined, "vertex", "left").select("place", "doc_id", "n_shingles", F.when(F.col("vertex") != 0, F.coalesce("component", "vertex")).alias("root"))
 
 
 def _sets(packed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -234,6 +283,7 @@ def _sets(packed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for k in first[np.isin(vertex, vertices)]:
                 out[0].append(int(s.vertex[k]))
                 out[1].append(C.pack(s.hashes[s.offsets[k] : s.offsets[k + 1]] >> SHORT, ascending=1))
+        C.release()
         return pa.table({"vertex": pa.array(out[0], pa.int64()), "s": pa.array(out[1], pa.binary())})
 
     return packed.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(fetch, "vertex long, s binary")
@@ -262,16 +312,7 @@ def _linked(members: DataFrame, bands: Bands, heavy: int, parts: int) -> DataFra
                 for a, b in spanning([words[k] for k in at], n[at], side[at], bool(same[at[0]]), bands, own):
                     out[0].append(int(vertex[at[a]]))
                     out[1].append(int(vertex[at[b]]))
+        C.release()
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return dealt.groupBy("part").applyInArrow(compare, "a long, b long").distinct()
-
-
-def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, one of each group of similar ones: that with the smallest doc_id.
-
-    Null ids stay only where their group has no other id; rows that repeat id and
-    text are one document.
-    """
-    stays = similar(docs, width, percent).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stays, docs["doc_id"].eqNullSafe(stays["stays"]), "left_semi").dropDuplicates(["doc_id", "text"])
