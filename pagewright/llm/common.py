@@ -9,6 +9,7 @@ memory is bounded by the block and part sizes, whatever the input.
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -42,6 +43,14 @@ def crc(value: object) -> int:
     return zlib.crc32(str("" if value is None else value).encode())
 
 
+def release() -> None:
+    """Give what a Python worker has freed back to the system: workers wait for tasks beside a busy JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 # ---------------------------------------------------------------- packed arrays
 
 
@@ -218,6 +227,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: list[str] | N
                     yield flush()
         if held:
             yield flush()
+        release()
 
     rest = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("rest")] if carry else []
     return checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest).mapInArrow(run, "block long, blob binary"))
@@ -235,6 +245,7 @@ def each_block(packed: DataFrame, work: Callable[[int, pa.Table], Iterator[dict]
             for block, blob in zip(batch["block"], batch["blob"], strict=True):
                 for out in work(block.as_py(), thawed(blob.as_buffer())):
                     yield pa.RecordBatch.from_pydict(out, schema=arrow)
+                release()
 
     return packed.mapInArrow(run, schema)
 
@@ -256,6 +267,7 @@ def gathered(events: DataFrame, work: Callable[[int, list[int], list[list[np.nda
         part, blobs = key[0].as_py(), rows["blob"]
         own = rows["block"].to_pylist()
         out = [pa.RecordBatch.from_pydict(x, schema=ARROW_ANSWERS) for x in work(part, own, [unpack(b.as_buffer().to_pybytes()) for b in blobs])]
+        release()
         return pa.Table.from_batches(out, schema=ARROW_ANSWERS)
 
     return events.groupBy("part").applyInArrow(run, ANSWERS)
@@ -270,7 +282,9 @@ def answered(packed: DataFrame, answers: DataFrame, work: Callable[[int, pa.Tabl
             got.setdefault(kind, []).append((part, blob.as_buffer().to_pybytes()))
         for x in got.values():
             x.sort(key=lambda y: y[0])
-        return work(key[0].as_py(), thawed(left["blob"][0].as_buffer()), got)
+        out = work(key[0].as_py(), thawed(left["blob"][0].as_buffer()), got)
+        release()
+        return out
 
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 

@@ -15,6 +15,7 @@ place from their rank among those of equal length.
 from __future__ import annotations
 
 import os
+import threading
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SETTINGS = ((24, 1 / 8), (48, 1 / 4), (24, 1 / 3), (48, 1 / 2))
-KEEP, LATER, TEXT = 500_000, 250_000, 1 << 18
+KEEP, LATER, TEXT, IDLE = 300_000, 150_000, 1 << 18, 2.0
 MARKS = ".,;:!?"
 
 
@@ -94,15 +95,31 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+_timers: list[threading.Timer] = []
 
 
 def encoder(path: str) -> Encoder:
     """One for each Python worker, whatever the number of its tasks."""
+    while _timers:
+        _timers.pop().cancel()
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+def release() -> None:
+    """Forget the words soon, unless another task of this worker needs them first."""
+
+    def forget() -> None:
+        _encoders.clear()
+        C.release()
+
+    timer = threading.Timer(IDLE, forget)
+    timer.daemon = True
+    timer.start()
+    _timers.append(timer)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int = 1, keep_ids: bool = False) -> DataFrame:
     """Each document's ids and the end id, cut into pieces of ``capacity`` only where longer."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] * keep_ids)]
@@ -124,6 +141,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int
                         out.append((key, k, lo // 4, len(piece) // 4, zlib.crc32(piece), *([np.frombuffer(piece, "<i4")] * keep_ids)))
                 at = upto
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        del encode
+        release()
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)

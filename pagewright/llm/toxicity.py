@@ -28,7 +28,7 @@ SENTENCE = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"\w+")
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
-CACHE = 400_000
+CACHE, ROWS = 150_000, 256
 
 
 def features(word: str) -> list[int]:
@@ -172,7 +172,7 @@ def score(docs: DataFrame, model: Model, modulus: int = 5, held_out: int = 0) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             value, worst, top = rated(batch["text"].to_pylist(), model, cache)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -186,6 +186,8 @@ def score(docs: DataFrame, model: Model, modulus: int = 5, held_out: int = 0) ->
                 ],
                 names=["doc_id", "held_out", "score", "predicted", "worst_start", "worst_length", "worst_score"],
             )
+        cache.clear()
+        C.release()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, worst_start long, worst_length long, worst_score double")
@@ -196,8 +198,10 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             yield batch.filter(pa.array(rated(batch["text"].to_pylist(), model, cache)[0] < threshold, pa.bool_()))
+        cache.clear()
+        C.release()
 
     return docs.mapInArrow(run, docs.schema)
 
