@@ -105,7 +105,7 @@ def mixture(cells: np.ndarray, n: np.ndarray, order: int, rounds: int = 100) ->
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def deleted_interpolation(docs: DataFrame, order: int = 2, modulus: int = 7, held_out: int = 2, deleted: int = 6, block_bytes: int = 12 << 20) -> DataFrame:
+def deleted_interpolation(docs: DataFrame, order: int = 2, modulus: int = 7, held_out: int = 2, deleted: int = 6, block_bytes: int = 8 << 20) -> DataFrame:
     """Score every document; learn from those whose id's crc32 modulo ``modulus`` is not ``held_out``.
 
     Those with remainder ``deleted`` give the mixture weights, then join the counts.
