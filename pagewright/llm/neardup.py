@@ -15,7 +15,7 @@ Vectors within less than half the threshold's angle of one centre are all linked
 Where a cell has more than ``heavy`` members, those near its mean become such a
 ball, which is compared as one vector with a radius: two balls, or a ball and a
 vector, are linked as a whole, not at all, or open.  Open balls are dissolved and
-the comparison is done again.  A cell that is still large is cut into chunks, and
+the comparison is done again, until none is open.  A cell that is still large is cut into chunks, and
 each pair of chunks is a group of its own: nothing is dropped and no task holds a
 whole hot cell.  Groups put out sums per vector and a spanning tree of their
 links, never the pairs.
@@ -158,14 +158,14 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, heavy: int = 1024, pr
     classes = C.checkpointed(ok.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")).withColumn("radius", F.lit(0.0)))
     parts = max(8, -(-classes.count() * p.tables // 50_000))
     members, centres = _balls(classes, p, heavy)
-    for _ in range(2):
+    while True:  # each round that doesn't end it removes a ball
         entities = classes.join(members.select("id"), "id", "left_anti").unionByName(centres)
         found = _compared(entities, p, heavy, parts)
         open_ = found.where("open").select("id").distinct().join(centres.select("id"), "id", "left_semi")
         if open_.isEmpty():
             break
-        members = members.join(open_.withColumnRenamed("id", "ball"), "ball", "left_anti")
-        centres = centres.join(open_, "id", "left_anti")
+        members = C.checkpointed(members.join(open_.withColumnRenamed("id", "ball"), "ball", "left_anti"))
+        centres = C.checkpointed(centres.join(open_, "id", "left_anti"))
     found = found.where("NOT open")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

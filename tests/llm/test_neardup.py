@@ -75,6 +75,29 @@ def test_balls(spark):
     assert sum(got[i][1:] == want[i][1:] for i in got) >= 0.98 * len(got)
 
 
+def test_balls_that_come_to_light_late(spark, monkeypatch):
+    """Balls found open one after another are all dissolved, however many comparisons that takes."""
+    rnd = np.random.default_rng(4)
+    base, side = rnd.normal(size=(2, 24))
+    crowds = [base + side * x + rnd.normal(size=24) * 0.03 for x in (0, 0.35, 0.7, 1.05) for _ in range(80)]
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(crowds)], "vec_id long, embedding array<double>")
+    compared, calls = neardup._compared, []
+
+    def one_at_a_time(*args):
+        found = compared(*args)
+        first = found.where("open").agg({"id": "min"}).first()[0]
+        calls.append(first)
+        return found.where(f"NOT open OR id = {first}") if first is not None else found
+
+    monkeypatch.setattr(neardup, "_compared", one_at_a_time)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(df, heavy=32).collect()}
+    want = brute([(k, x.tolist()) for k, x in enumerate(crowds)], 0.95)
+    assert len(calls) > 2 and calls[-1] is None
+    assert sum(n for n, *_ in got.values()) >= 0.97 * sum(n for n, *_ in want.values())
+    assert all(got[i][0] <= want[i][0] for i in got)
+    assert sum(got[i][1:] == want[i][1:] for i in got) >= 0.98 * len(got)
+
+
 def test_recall_at_the_threshold():
     rnd = np.random.default_rng(0)
     p, n = neardup.Projections(0.95), 3000
