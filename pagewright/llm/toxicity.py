@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -29,6 +29,7 @@ WORD = re.compile(r"\w+")
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
 CACHE, ROWS = 150_000, 256
+FLOOR = -22.0  # the largest log odds of a sentence without offending words: millions of them stay far below 0.5
 
 
 def features(word: str) -> list[int]:
@@ -54,6 +55,9 @@ def fit(bags: Iterable[tuple[int, list[list[str]]]], negative_weight: float = 1.
 
     Weights are at least 0: no clean word makes up for an offending one.  Features of fewer than ``least`` bags are left out.  Without both labels the
     bias alone is fitted.
+
+    Every sentence adds to a bag, so that the bias alone would make a bag of thousands toxic.  It is therefore lowered
+    to ``FLOOR`` at the end, and the weights are scaled to the likelihood's maximum for it.
     """
     vocabulary: dict[str, int] = {}
     labels, ids, per_sentence, bag_of = [], [], [], []
@@ -68,7 +72,7 @@ def fit(bags: Iterable[tuple[int, list[list[str]]]], negative_weight: float = 1.
     weight = np.where(labels > 0, 1.0, negative_weight)
     rate_pos = (weight * labels).sum() / max(1e-9, weight.sum())
     if not 0 < rate_pos < 1:
-        return Model(-12.0 if rate_pos == 0 else 12.0, {})
+        return Model(FLOOR if rate_pos == 0 else 12.0, {})
     n_bags, bag_of = len(labels), np.array(bag_of, np.int32)
     sentence, ids = np.repeat(np.arange(len(bag_of), dtype=np.int32), per_sentence), np.concatenate(ids)
     own = [features(w) for w in vocabulary]
@@ -89,9 +93,13 @@ def fit(bags: Iterable[tuple[int, list[list[str]]]], negative_weight: float = 1.
     theta, square = np.zeros(len(used)), np.full(len(used), 1e-6)
     per_bag = np.bincount(bag_of, minlength=n_bags).mean()
     bias, bias_square = float(np.log(rate_pos / per_bag)) - 3, 1e-6
+
+    def evidence() -> np.ndarray:
+        """Of each sentence: the sum of its words' weights."""
+        return np.bincount(sentence, np.bincount(word, theta[feature], minlength=n_words)[ids], minlength=len(bag_of))
+
     for _ in range(rounds):
-        of_word = np.bincount(word, theta[feature], minlength=n_words)
-        z = bias + np.bincount(sentence, of_word[ids], minlength=len(bag_of))
+        z = bias + evidence()
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.exp(-np.bincount(bag_of, np.logaddexp(0, z), minlength=n_bags))
         slope = np.where(labels > 0, -none / np.maximum(1 - none, 1e-9), 1.0) * weight / weight.sum()
@@ -102,6 +110,16 @@ def fit(bags: Iterable[tuple[int, list[list[str]]]], negative_weight: float = 1.
         theta = np.maximum(theta - step * (grad + l1), 0)
         bias_square += g.sum() ** 2
         bias -= rate * g.sum() / np.sqrt(bias_square)
+    if bias > FLOOR:
+        base = evidence()
+
+        def loss(scale: float) -> float:
+            total = np.bincount(bag_of, np.logaddexp(0, FLOOR + scale * base), minlength=n_bags)
+            return float((weight * np.where(labels > 0, -np.log(-np.expm1(-np.maximum(total, 1e-12))), total)).sum())
+
+        scales = np.linspace(1, 2 * FLOOR / min(bias, FLOOR / 8), 60)
+        scale = min(scales, key=loss)
+        theta, bias = theta * scale, FLOOR
     large = np.flatnonzero(np.abs(theta) > 1e-4)
     return Model(bias, {int(used[x]): float(theta[x]) for x in large})
 
@@ -110,21 +128,28 @@ def sentences(text: str | None) -> list[list[str]]:
     return [WORD.findall(s) for s in SENTENCE.split((text or "").lower())]
 
 
-def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, sample: int = 2500, longest: int = 50_000) -> Model:
-    """Fit on at most ``sample`` toxic and as many other labelled documents of up to ``longest`` characters.
+def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, sample: int = 2500, room: int = 50_000_000) -> Model:
+    """Fit on at most ``sample`` toxic and as many other labelled documents, of any length.
 
-    Rows are taken in the order of a hash of their id.  A document with several
-    labels counts as toxic if one says so; null labels and held-out ids are left
-    out.  Texts become bags on the executors, so only words in use travel.
+    Rows are taken in the order of a hash of their id, of each label until their
+    texts hold half of ``room`` characters (one document at least).  A document
+    with several labels counts as toxic if one says so; null labels and held-out
+    ids are left out.
     """
     marked = labels.where((C.fold("doc_id", modulus) != held_out) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = {r.toxic: r["n"] for r in marked.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     chosen = [marked.where(c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (F.col("toxic") > 0, F.col("toxic") <= 0)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample rows
-    rows = docs.select("doc_id", "text").where(F.length("text") <= longest).join(chosen, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
-    rows = sorted(rows.collect(), key=lambda r: r.doc_id)
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
+    earlier = Window.partitionBy(F.col("toxic") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum(F.length(F.coalesce("text", F.lit("")))).over(earlier), F.lit(0)))  # of at most 2 * sample rows
+    rows = rows.withColumn("all", F.count("*").over(Window.partitionBy(F.col("toxic") > 0))).where(F.col("before") < room // 2)
+    rows = sorted(rows.select("doc_id", "toxic", "text", "all").collect(), key=lambda r: r.doc_id)
     n = [min(count.get(k, 0), sample) for k in (0, 1)]
+    for k in (0, 1):  # what the bound on characters left out
+        own = [r["all"] for r in rows if (r.toxic > 0) == k]
+        n[k] = n[k] * len(own) / own[0] if own else n[k]
     ratio = (count.get(0, 0) / n[0]) / (count.get(1, 0) / n[1]) if all(n) else 1.0
     return fit(((int(r.toxic > 0), sentences(r.text)) for r in rows), ratio)
 

@@ -38,6 +38,26 @@ def test_held_out_and_location(spark):
             assert "gruk" in s or "blem" in s
 
 
+def test_long_clean_texts(spark):
+    """A text doesn't become toxic by its length; one offending sentence still tells."""
+    docs, labels = corpus()
+    model = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    rnd = random.Random(2)
+    long = ". ".join(" ".join(rnd.choice([f"w{k}" for k in range(60)]) for _ in range(4)) for _ in range(100_000))
+    never = toxicity.fit([(0, toxicity.sentences("a. b"))])
+    assert toxicity.rated([long], never, {})[0][0] < 0.1
+    score = toxicity.rated([long, long + ". gruk w1 w2"], model, {})[0]
+    assert score[0] < 0.1 and score[1] >= 0.5
+
+
+def test_long_documents_are_learned_from(spark):
+    docs, labels = corpus(400)
+    docs += [(k, "w3 zarg w5. " + "w1 w2 " * 9000, "x") for k in range(1000, 1030)]
+    labels += [(k, 1) for k in range(1000, 1030)]
+    model = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.word("zarg") > 0 and model.word("gruk") > 0
+
+
 def test_scores_are_noisy_or(spark):
     model = toxicity.Model(-3.0, {toxicity.features("bad")[0]: 4.0})
     texts = ["bad", "ok. bad bad", "", None, "...", "a. b! c? d\ne", "x" * 200_000, "Bad day. good day"]
