@@ -15,7 +15,6 @@ place from their rank among those of equal length.
 from __future__ import annotations
 
 import os
-import threading
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,15 +28,17 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SETTINGS = ((24, 1 / 8), (48, 1 / 4), (24, 1 / 3), (48, 1 / 2))
-KEEP, LATER, TEXT, IDLE = 300_000, 150_000, 1 << 18, 2.0
+KEEP, LATER, TEXT = 200_000, 150_000, 1 << 18
 MARKS = ".,;:!?"
 
 
 class Encoder:
     """Token ids of whole texts as bytes; words between ASCII blanks are encoded once and kept.
 
-    The tokenizer lower-cases, and its pieces never mix letters and other marks: a
-    first letter A-Z and one mark after a letter need no encoding of their own.
+    The tokenizer lower-cases, and its pieces never mix letters and other marks: of
+    words of ASCII letters, a capital at the start and one mark at the end need no
+    encoding of their own.  All other words are given to the tokenizer whole, as
+    composing and lower-casing letters can make marks and join them.
     The first ``KEEP`` words, the frequent ones among them, stay; later ones are
     forgotten from time to time, so that memory is bounded.
     """
@@ -84,9 +85,10 @@ class Encoder:
             self.known = self.first.copy()
         new, stems = set().union(*split).difference(self.known), {}
         for word in new:
-            end = word[-1] if word[-1] in MARKS and word[-2:-1].isalpha() else ""
-            stem = word[:-1] if end else word
-            stems[word] = (chr(ord(stem[0]) + 32) + stem[1:] if "A" <= stem[0] <= "Z" else stem, end)
+            if word.isascii() and (stem := word[:-1] if word[-1] in MARKS else word).isalpha():
+                stems[word] = (chr(ord(stem[0]) + 32) + stem[1:] if "A" <= stem[0] <= "Z" else stem, word[len(stem) :])
+            else:
+                stems[word] = (word, "")
         self._encode(list({s for s, _ in stems.values()}.difference(self.known)))
         known = self.known
         known.update({w: known[s] + known[e] for w, (s, e) in stems.items()})
@@ -95,31 +97,15 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
-_timers: list[threading.Timer] = []
 
 
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, whatever the number of its tasks."""
-    while _timers:
-        _timers.pop().cancel()
+    """One for each Python worker, whatever the number of its tasks; what it keeps is bounded."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
-def release() -> None:
-    """Forget the words soon, unless another task of this worker needs them first."""
-
-    def forget() -> None:
-        _encoders.clear()
-        C.release()
-
-    timer = threading.Timer(IDLE, forget)
-    timer.daemon = True
-    timer.start()
-    _timers.append(timer)
-
-
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int = 1, keep_ids: bool = False) -> DataFrame:
     """Each document's ids and the end id, cut into pieces of ``capacity`` only where longer."""
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] * keep_ids)]
@@ -141,8 +127,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int
                         out.append((key, k, lo // 4, len(piece) // 4, zlib.crc32(piece), *([np.frombuffer(piece, "<i4")] * keep_ids)))
                 at = upto
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-        del encode
-        release()
+        C.release()
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)

@@ -64,6 +64,23 @@ def test_plan(kind):
         assert len(places) <= 1.01 * len(bins) + 1
 
 
+def test_ids_equal_the_tokenizer():
+    """Short texts of letters that change when composed or lower-cased, of marks, blanks and digits."""
+    rnd, tokenizer, encode = random.Random(9), Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    odd = ["\u0130", "\u0958", "\u093c", "\ufb1d", "\u0345", "\u0307", "\u030c", "\u0301", "\u01f0", "J", "S", "\u03a3", "\u00df", "\u1e9e", "\u212b", "\u1100", "\u1161", "\u0e33", "\u4e2d", "\U0001f600", "\u200d", "\xbd"]
+    marks = [*".,;:!?'\"-()", "'s", "'ll", "<|", "|>", "<|endoftext|>"]
+    blanks = [" ", "  ", "\n", "\t", "\r\n", "\xa0", "\u2003", "\x0b", "\x1c", "\u200b", " \u0301"]
+    letters = [*"abcdefgABCDEFGIKOST", "the", "Word", "2", "17"]
+    texts = ["TAKS\u0130, geldi", "MEVS\u0130M\u0130.", "\u0958\u0307.", "\ufb1d\u0345!"]
+    for _ in range(30_000):
+        kinds = rnd.choices([letters, odd, marks, blanks], [6, rnd.choice([0, 2, 6]), 2, 2], k=rnd.randrange(0, 14))
+        texts.append("".join(rnd.choice(k) for k in kinds))
+    for at in range(0, len(texts), 1000):
+        some = texts[at : at + 1000]
+        for text, got in zip(some, encode(some), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_round_trip(spark):
     rnd = random.Random(6)
     texts = [" ".join(rnd.choices(["Alpha", "beta's", "éta,", "12", "<|endoftext|>", "x y", "\x1cq"], k=rnd.randrange(0, 900))) for _ in range(60)]
