@@ -36,7 +36,7 @@ SPARE = 15  # percent of a sketch's words beyond the pigeonhole bound
 MOST_BITS = 1 << 16
 BLOCK = 8 << 20
 ROWS = 20  # bits of a document's row in its block
-SHORT = np.uint64(16)  # bits of a hash that are left out on the way: of a bucket's key, of a shingle in a comparison
+SHORT = np.uint64(16)  # bits of a bucket's key that are left out on the way: two buckets in one cost work, not links
 
 
 class Bands:
@@ -197,7 +197,7 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int = 409
     have 100 * intersection >= percent * union; a shorter text is one shingle of
     all its words.  Null and wordless texts link with nothing.  component_id is the
     smallest doc_id reachable; null ids come after every other.  Sets are told
-    apart by 64-bit hashes, shingles in a comparison by 48 bits.
+    apart by 64-bit hashes, and so are shingles.
     """
     rooted = _rooted(C.blocks(docs, BLOCK), width, percent, heavy)
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
@@ -282,7 +282,7 @@ def _sets(packed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             vertex, first = np.unique(s.vertex, return_index=True)
             for k in first[np.isin(vertex, vertices)]:
                 out[0].append(int(s.vertex[k]))
-                out[1].append(C.pack(s.hashes[s.offsets[k] : s.offsets[k + 1]] >> SHORT, ascending=1))
+                out[1].append(C.pack(s.hashes[s.offsets[k] : s.offsets[k + 1]], ascending=1))
         C.release()
         return pa.table({"vertex": pa.array(out[0], pa.int64()), "s": pa.array(out[1], pa.binary())})
 

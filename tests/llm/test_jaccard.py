@@ -62,5 +62,15 @@ def test_bands_hold_all_partners(percent):
         assert bands.most(a, b) <= bands.differ(bands.of(b))
 
 
+def test_words_of_a_pattern(spark):
+    """A word of 1024 letters whose pattern any polynomial modulo a power of two takes for its complement's."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word), (4, f"x {word} y"), (5, f"x {word} z")]
+    got = {r.doc_id: r.component_id for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
 def test_empty(spark):
     assert jaccard.similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
