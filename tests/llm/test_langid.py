@@ -41,6 +41,26 @@ def test_batched_sums_are_the_document_features(spark):
         assert abs(p.max() - r.score) < 1e-4 and r.lang_pred in np.array(model.languages)[p > p.max() - 1e-4]
 
 
+def test_only_letters_count():
+    assert [langid.has_letter(t) for t in ("\xbd", "\xb2 \u2167 12_", "12 --", "", "\xbd\xe9", "\u4e2d", "\u02b0")] == [False, False, False, False, True, True, True]
+
+
+def test_document_frequencies_are_of_all_documents(spark):
+    texts = ["ab", "abab", None, "", "xyz", "ab\u0130", "ab"] * 3
+    n, df = langid.document_frequencies(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), 10)
+    want = np.zeros(1 << 10)
+    for t in texts:
+        want[langid.frequencies(t or "", 10)[0]] += 1
+    assert n == len(texts) and (df == want).all()
+
+
+def test_many_languages(spark):
+    """None is left out, whatever their number; the table keeps its bound."""
+    rows = [(k, f"{chr(0x4E00 + k % 700)} " * (3 + k % 5), f"l{k % 700:03d}") for k in range(9800)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=3500)
+    assert len(model.languages) == 700 and model.table.size <= langid.CELLS + 700
+
+
 def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.language_id(df).collect()] == [("und", 0.0)]
