@@ -134,7 +134,9 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
     Rows are taken in the order of a hash of their id, of each label until their
     texts hold half of ``room`` characters (one document at least).  A document
     with several labels counts as toxic if one says so; null labels and held-out
-    ids are left out.
+    ids are left out; of several texts with one id the largest teaches.  The texts
+    of the sample, ``room`` characters and two documents at most, are collected and
+    become bags on the driver.
     """
     marked = labels.where((C.fold("doc_id", modulus) != held_out) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -174,13 +176,13 @@ def rated(texts: list[str | None], model: Model, cache: dict[str, float]) -> tup
         sums += found
         bounds.append(len(sums))
         k, at = max(range(len(found)), key=found.__getitem__), 0
-        for n, m in enumerate(SENTENCE.finditer(low)):
+        for n, m in enumerate(SENTENCE.finditer(text or "")):  # as written: lower-casing may change the length
             if n == k:
                 worst.append((at, m.start() - at))
                 break
             at = m.end()
         else:
-            worst.append((at, len(low) - at))
+            worst.append((at, len(text or "") - at))
     z = np.array(sums)
     if not len(z):
         return z, worst, z
@@ -219,7 +221,11 @@ def score(docs: DataFrame, model: Model, modulus: int = 5, held_out: int = 0) ->
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text scores below the threshold, with all their columns."""
+    """The rows of ``docs`` whose text scores below the threshold, with all their columns, whatever their names.
+
+    A null or empty text is one empty sentence.  Equal rows fare alike: all stay or
+    all go.  Ids play no part, so rows without one are kept or left out by their text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, float] = {}
@@ -232,5 +238,9 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, sample: int = 2500) -> DataFrame:
-    """Learn from ``labels`` outside the held-out fold, then score all of ``docs``."""
+    """Learn from ``labels`` outside the held-out fold, then score all of ``docs``: one row for each of its rows.
+
+    Repeated rows are scored each, alike.  Without labels of both kinds the bias
+    alone is learned.  Columns other than doc_id and text play no part.
+    """
     return score(docs, learn(docs, labels, modulus, held_out, sample), modulus, held_out)

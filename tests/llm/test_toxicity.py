@@ -70,6 +70,13 @@ def test_scores_are_noisy_or(spark):
         assert r.predicted == int(r.score >= 0.5)
 
 
+def test_places_are_of_the_text_as_written():
+    model = toxicity.Model(-3.0, {toxicity.features("badword")[0]: 9.0})
+    texts = ["\u0130\u0130\u0130\u0130 hello. badword here. ok", "\u0130. x\n\u0130 badword", "badword"]
+    for text, (at, n) in zip(texts, toxicity.rated(texts, model, {})[1], strict=True):
+        assert text[at : at + n].strip(" ") == {0: "badword here", 1: "\u0130 badword", 2: "badword"}[texts.index(text)]
+
+
 def test_empty_and_single_label(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
