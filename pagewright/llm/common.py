@@ -13,6 +13,8 @@ import ctypes
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -275,15 +277,120 @@ ARROW_EVENTS = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("blob",
 ARROW_ANSWERS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("part", pa.int64()), ("blob", pa.binary())])
 
 
-def cut(ordered: np.ndarray, parts: int) -> np.ndarray:
-    """Bounds of the parts within ascending, evenly spread 64-bit hashes."""
-    steps = [(p << 64) // parts for p in range(1, parts)]
-    return np.concatenate(([0], np.searchsorted(ordered, np.array(steps, np.uint64)), [len(ordered)])).astype(np.int64)
+@dataclass(frozen=True)
+class Exchange:
+    """The way of events from blocks to parts, and of answers back.
+
+    Up to ``FAN`` blocks each of them writes to each part.  Beyond, that would be a
+    blob of a few keys for each pair of a block and a part.  So blocks write to the
+    square root of their number of *ranges*, a range's blobs of about as many blocks
+    (a *team*) are joined and cut into its parts, and answers go back the same way:
+    blobs grow with the power 1.5 of the input, and stay of one size.
+    """
+
+    parts: int
+    spans: int = 1  # parts of a range
+    teams: int = 1
+
+    @property
+    def ranges(self) -> int:
+        return self.parts // self.spans
+
+    def cut(self, ordered: np.ndarray) -> np.ndarray:
+        """Bounds of the ranges within ascending, evenly spread 64-bit hashes."""
+        steps = [(r * self.spans << 64) // self.parts for r in range(1, self.ranges)]
+        return np.concatenate(([0], np.searchsorted(ordered, np.array(steps, np.uint64)), [len(ordered)])).astype(np.int64)
+
+
+#: Up to here a part's blobs of a block hold 2 KB or more.
+FAN = 4096
+#: Blocks from here on are of a kind of their own; no team holds both kinds.
+MARKED = 1 << 50
+
+
+def exchange_for(packed: DataFrame) -> Exchange:
+    """As many parts as blocks: both sides of the exchange keep a bounded size."""
+    n = max(8, packed.select("block").count())
+    if n <= FAN:
+        return Exchange(n)
+    side = isqrt(n - 1) + 1
+    return Exchange(side * side, side, side)
+
+
+@dataclass(frozen=True)
+class Lane:
+    """Events of one kind: how far their keys (the first array, ascending) are shifted, whether the last array holds as
+    many items for each event as the one before it says, and how many answers some events get."""
+
+    shift: int = 0
+    ragged: bool = False
+    answers: Callable[[list[np.ndarray]], int] = lambda arrays: len(arrays[0])
+
+    def split(self, arrays: list[np.ndarray], steps: np.ndarray) -> list[list[np.ndarray]]:
+        at = np.concatenate(([0], np.searchsorted(arrays[0] << np.uint64(self.shift), steps), [len(arrays[0])]))
+        to = np.concatenate(([0], np.cumsum(arrays[-2], dtype=np.int64)))[at] if self.ragged else at
+        flat = arrays[:-1] if self.ragged else arrays
+        return [[*(x[at[k] : at[k + 1]] for x in flat), *([arrays[-1][to[k] : to[k + 1]]] if self.ragged else [])] for k in range(len(at) - 1)]
 
 
-def gathered(events: DataFrame, work: Callable[[int, list[int], list[list[np.ndarray]]], Iterator[dict]]) -> DataFrame:
-    """All events of a part meet: ``work(part, blocks, arrays of each block)`` yields answers."""
+Work = Callable[[int, list[int], list[list[np.ndarray]]], Iterator[dict]]
 
+
+def gathered(events: DataFrame, work: Work, x: Exchange = Exchange(1), lanes: tuple[Lane, ...] = (Lane(),)) -> DataFrame:
+    """All events of a part meet: ``work(part, blocks, arrays of each block)`` yields answers.
+
+    ``part`` is the range (the part, where a range has only one) times the number
+    of lanes, plus the lane.  Of several parts a range, ``blocks`` are teams.
+    Answers follow the events' order; those to block -1 are for no block.
+    """
+    if x.spans == 1:
+        return _met(events, work)
+    n = len(lanes)
+    team = F.when(F.col("block") >= MARKED, F.lit(MARKED)).otherwise(F.lit(0)) + F.pmod(F.xxhash64("block"), F.lit(x.teams))
+
+    def join(key, rows):
+        code, own = key[0].as_py(), key[1].as_py()
+        r, lane = divmod(code, n)
+        steps = np.array([((r * x.spans + k) << 64) // x.parts for k in range(1, x.spans)], np.uint64)
+        rows = rows.sort_by("block")
+        cut = [lanes[lane].split(unpack(b.as_buffer().to_pybytes()), steps) for b in rows["blob"]]
+        out = {"listed": [True], "part": [code], "block": [own], "blob": [pack(rows["block"].to_numpy(), np.array([[lanes[lane].answers(c) for c in own_] for own_ in cut], np.int64).reshape(-1))]}
+        for k in range(x.spans):
+            arrays = [np.concatenate(c) for c in zip(*(own_[k] for own_ in cut), strict=True)]
+            if len(arrays[0]):
+                for name, value in zip(out, (False, n * (r * x.spans + k) + lane, own, pack(*arrays, ascending=1)), strict=True):
+                    out[name].append(value)
+        release()
+        return pa.table(out, schema=pa.schema([("listed", pa.bool_()), *ARROW_EVENTS]))
+
+    joined = checkpointed(events.withColumn("team", team).groupBy("part", "team").applyInArrow(join, f"listed boolean, {EVENTS}"))
+    answers = checkpointed(_met(joined.where("NOT listed").drop("listed"), work))
+    place = F.floor(F.col("part") / n)
+    code = (F.floor(place / x.spans) * n + F.pmod(F.col("part"), F.lit(n))).alias("code")
+
+    def back(key, left, right):
+        blocks, sizes = unpack(left["blob"][0].as_buffer().to_pybytes())
+        edges = np.vstack((np.zeros(x.spans, np.int64), np.cumsum(sizes.reshape(len(blocks), x.spans), axis=0)))
+        out = ([], [], [], [])
+        right = right.sort_by([("kind", "ascending"), ("part", "ascending")])
+        kinds, places = right["kind"].to_numpy(), right["part"].to_numpy() // n % x.spans
+        for kind in np.unique(kinds):
+            at = np.flatnonzero(kinds == kind)
+            told = [unpack(right["blob"][int(k)].as_buffer().to_pybytes())[0] for k in at]
+            for b, block in enumerate(blocks.tolist()):
+                own = [a[edges[b, k] : edges[b + 1, k]] for a, k in zip(told, places[at], strict=True)]
+                if sum(map(len, own)):
+                    for column, value in zip(out, (block, int(kind), key[0].as_py(), pack(np.concatenate(own))), strict=True):
+                        column.append(value)
+        release()
+        return pa.table(dict(zip(ARROW_ANSWERS.names, out, strict=True)), schema=ARROW_ANSWERS)
+
+    listed = joined.where("listed").select(F.col("part").alias("code"), "block", "blob").groupBy("code", "block")
+    told = answers.where("block >= 0").select("*", code).groupBy("code", "block")
+    return listed.cogroup(told).applyInArrow(back, ANSWERS).unionByName(answers.where("block < 0"))
+
+
+def _met(events: DataFrame, work: Work) -> DataFrame:
     def run(key, rows):
         part, blobs = key[0].as_py(), rows["blob"]
         own = rows["block"].to_pylist()
@@ -294,6 +401,15 @@ def gathered(events: DataFrame, work: Callable[[int, list[int], list[list[np.nda
     return events.groupBy("part").applyInArrow(run, ANSWERS)
 
 
+def codes(got: dict[int, list[tuple[int, bytes]]], kind: int, n: int, dtype: type) -> np.ndarray:
+    """A block's answers of one kind, in the order of its ``n`` events."""
+    found = [unpack(blob)[0] for _, blob in got.get(kind, [])]
+    out = np.concatenate(found) if found else np.zeros(0, dtype)
+    if len(out) != n:
+        raise RuntimeError(f"{len(out)} answers to {n} events")
+    return out
+
+
 def answered(packed: DataFrame, answers: DataFrame, work: Callable[[int, pa.Table, dict[int, list[tuple[int, bytes]]]], pa.Table], schema: str) -> DataFrame:
     """Each block again, with the answers to it: ``work(block, documents, {kind: [(part, blob), ...]})``."""
 
@@ -310,6 +426,9 @@ def answered(packed: DataFrame, answers: DataFrame, work: Callable[[int, pa.Tabl
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
+def cut(ordered: np.ndarray, parts: int) -> np.ndarray:
+    return Exchange(parts).cut(ordered)
+
+
 def parts_for(packed: DataFrame) -> int:
-    """As many parts as blocks: both sides of the exchange keep a bounded size."""
-    return max(8, packed.select("block").count())
+    return exchange_for(packed).parts

@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BEGIN, END = np.uint64(0x3C6EF372FE94F82B), np.uint64(0x1F83D9ABFB41BD6B)
-DELETED = 1 << 50
 STEP, ZERO, SHIFT = 4, 0, 400  # ratio codes: steps an octave, the code of nothing, that of one
 TOTALS, MAIN, SUMS = 0, 1, 9
 
@@ -117,25 +116,25 @@ def deleted_interpolation(docs: DataFrame, order: int = 2, modulus: int = 7, hel
     docs = docs.select("doc_id", "text")
     other = C.fold("doc_id", modulus) != deleted
     packed = C.blocks(docs.where(other), block_bytes)
-    few = C.blocks(docs.where(~other), block_bytes).withColumn("block", F.col("block") + F.lit(DELETED))
-    parts = C.parts_for(packed)
+    few = C.blocks(docs.where(~other), block_bytes).withColumn("block", F.col("block") + F.lit(C.MARKED))
+    x = C.exchange_for(packed)
 
     def ask(block: int, rows: pa.Table) -> Iterator[dict]:
         s = Stream(rows, order)
         counts = s.counts(np.array([C.crc(x) % modulus != held_out for x in rows["doc_id"].to_pylist()], bool))
-        bounds = C.cut(s.keys, parts)
-        full = [int(p) for p in np.flatnonzero(np.diff(bounds))]
-        yield {"part": full, "block": [block] * len(full), "blob": [C.pack(*(x[bounds[p] : bounds[p + 1]] for x in (s.keys, counts, s.code)), ascending=1) for p in full]}
+        bounds = x.cut(s.keys)
+        full = np.flatnonzero(np.diff(bounds)).tolist()
+        yield {"part": full, "block": [block] * len(full), "blob": [C.pack(*(c[bounds[p] : bounds[p + 1]] for c in (s.keys, counts, s.code)), ascending=1) for p in full]}
 
     def add(part: int, own: list[int], arrays: list[list[np.ndarray]]) -> Iterator[dict]:
         keys, counts, code = (np.concatenate(x) for x in zip(*arrays, strict=True))
         sizes = [len(a[0]) for a in arrays]
         order_ = np.argsort(keys, kind="stable")
         start = C.runs(keys[order_])
-        main = counts * np.repeat(np.array([b < DELETED for b in own], np.uint64), sizes)
+        main = counts * np.repeat(np.array([b < C.MARKED for b in own], np.uint64), sizes)
         told = []
-        for x in (counts, main):
-            sums = np.add.reduceat(x[order_], start)
+        for c in (counts, main):
+            sums = np.add.reduceat(c[order_], start)
             out = np.empty(len(keys), np.uint64)
             out[order_] = C.spread(sums, start, len(keys))
             told.append(out)
@@ -143,39 +142,38 @@ def deleted_interpolation(docs: DataFrame, order: int = 2, modulus: int = 7, hel
         kinds = int(np.count_nonzero(np.add.reduceat(counts[order_], start)[code[order_][start] == 1]))
         yield {"block": [-1], "kind": [SUMS], "part": [part], "blob": [C.pack(np.array([main[token].sum(), counts[token].sum(), kinds], np.uint64))]}
         bounds = np.cumsum([0, *sizes])
-        for kind, x in ((TOTALS, told[0]), (MAIN, told[1])):
-            to = [k for k, b in enumerate(own) if kind == TOTALS or b >= DELETED]
+        for kind, c in ((TOTALS, told[0]), (MAIN, told[1])):
+            to = [k for k, b in enumerate(own) if kind == TOTALS or b >= C.MARKED]
             if to:
-                yield {"block": [own[k] for k in to], "kind": [kind] * len(to), "part": [part] * len(to), "blob": [C.pack(x[bounds[k] : bounds[k + 1]]) for k in to]}
+                yield {"block": [own[k] for k in to], "kind": [kind] * len(to), "part": [part] * len(to), "blob": [C.pack(c[bounds[k] : bounds[k + 1]]) for k in to]}
 
     every = packed.unionByName(few)
-    answers = C.checkpointed(C.gathered(C.each_block(every, ask, C.EVENTS, C.ARROW_EVENTS), add))
-    sums = [C.unpack(bytes(r.blob))[0] for r in answers.where("block = -1").select("blob").collect()]  # one row a part
-    main_tokens, tokens, kinds = (int(x) for x in (np.sum(sums, axis=0) if sums else (0, 0, 0)))
+    answers = C.checkpointed(C.gathered(C.each_block(every, ask, C.EVENTS, C.ARROW_EVENTS), add, x))
 
-    def counts_of(got: dict, kind: int, s: Stream) -> np.ndarray:
-        found = [C.unpack(blob)[0] for _, blob in got.get(kind, [])]
-        out = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        if len(out) != len(s.keys):
-            raise RuntimeError(f"{len(out)} answers to {len(s.keys)} n-grams")
-        return out
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = np.array([C.unpack(b.as_buffer().to_pybytes())[0] for b in batch["blob"]], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in sums.T], names=["main", "all", "kinds"])
+
+    sums = answers.where("block = -1").select("blob").mapInArrow(read, "main long, all long, kinds long").agg(*(F.sum(c).alias(c) for c in ("main", "all", "kinds"))).first()
+    main_tokens, tokens, kinds = (y or 0 for y in sums)
 
     def expect(block: int, rows: pa.Table, got: dict) -> pa.Table:
         s = Stream(rows, order)
-        cells, by_order = s.estimates(counts_of(got, MAIN, s), main_tokens, order)
+        cells, by_order = s.estimates(C.codes(got, MAIN, len(s.keys), np.uint64), main_tokens, order)
         for j, f in enumerate(by_order):
             code = np.rint(STEP * np.log2(np.maximum(f * (kinds + 1), 1e-28))) + SHIFT
             cells = cells | (np.where(f > 0, np.clip(code, 1, 1023), ZERO).astype(np.int64) << (6 + 10 * j))
         cell, n = np.unique(cells, return_counts=True)
         return pa.table({"cell": cell, "n": n})
 
-    told = answers.where(F.col("block") >= DELETED)
+    told = answers.where(F.col("block") >= C.MARKED)
     found = C.answered(few, told.where(F.col("kind") == MAIN), expect, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     weights = mixture(found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.float64), order)
 
     def score(block: int, rows: pa.Table, got: dict) -> pa.Table:
         s = Stream(rows, order)
-        counts = counts_of(got, TOTALS, s)
+        counts = C.codes(got, TOTALS, len(s.keys), np.uint64)
         octaves, by_order = s.estimates(counts, tokens, order)
         p = weights[octaves, 0] / (kinds + 1)
         for j, f in enumerate(by_order, 1):

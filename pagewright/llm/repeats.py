@@ -149,13 +149,13 @@ class Anchors:
         return at, hashes, own
 
 
-def _first_pass(unit: str, window: int, gram: int, parts: int):
+def _first_pass(unit: str, window: int, gram: int, x: C.Exchange):
     def work(block: int, rows: pa.Table) -> Iterator[dict]:
         a = Anchors(rows, unit, window, gram)
         keys, shape, ids, sizes = a.events()
-        bounds = C.cut(a.keys, parts)
-        full = [p for p in range(parts) if bounds[p + 1] > bounds[p]]
-        yield {"part": full, "block": [block] * len(full), "blob": [C.pack(*(x[bounds[p] : bounds[p + 1]] for x in (keys, shape, ids, sizes)), ascending=1) for p in full]}
+        bounds = x.cut(a.keys)
+        full = np.flatnonzero(np.diff(bounds)).tolist()
+        yield {"part": full, "block": [block] * len(full), "blob": [C.pack(*(c[bounds[p] : bounds[p + 1]] for c in (keys, shape, ids, sizes)), ascending=1) for p in full]}
 
     return work
 
@@ -180,44 +180,36 @@ def _decide(automata: bool, most: int):
     return work
 
 
-def _codes(got: dict, kind: int, n: int) -> np.ndarray:
-    found = [C.unpack(blob)[0] for _, blob in got.get(kind, [])]
-    out = np.concatenate(found) if found else np.zeros(0, np.uint8)
-    if len(out) != n:
-        raise RuntimeError(f"{len(out)} answers to {n} events")
-    return out
-
-
 def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order by hash, earlier first among equals, and where each run starts."""
     order = np.argsort(hashes, kind="stable")
     return order, C.runs(hashes[order])
 
 
-def _second_pass(unit: str, window: int, gram: int, parts: int, within: bool):
+def _second_pass(unit: str, window: int, gram: int, x: C.Exchange, within: bool):
     """Of the open groups: windows by hash (kind 1), spans by anchor (kind 2)."""
 
     def work(block: int, rows: pa.Table, got: dict) -> pa.Table:
         a = Anchors(rows, unit, window, gram)
-        codes, out = _codes(got, 0, len(a.keys)), []
+        codes, out = C.codes(got, 0, len(a.keys), np.uint8), []
         lead = a.leaders(codes, HOT, not within)
         if len(lead):
             at, hashes, own = a.windows(lead)
             order, start = _distinct(hashes)
             lead_of = order[start]
             keys = hashes[lead_of]
-            bounds = C.cut(keys, parts)
+            bounds = x.cut(keys)
             for p in np.flatnonzero(np.diff(bounds)):
                 s = slice(bounds[p], bounds[p + 1])
                 out.append((2 * int(p), block, C.pack(keys[s] >> np.uint64(8), (a.gram[own[lead_of[s]]] & CHECK).astype(np.uint32), a.ids[a.doc[own[lead_of[s]]]], ascending=1)))
         lead = a.leaders(codes, OPEN, False)
         if len(lead):
             lead = lead[np.argsort(a.gram[lead], kind="stable")]
-            bounds = C.cut(a.gram[lead], parts)
+            bounds = x.cut(a.gram[lead])
             for p in np.flatnonzero(np.diff(bounds)):
-                x = lead[bounds[p] : bounds[p + 1]]
-                n = a.last[x] + window - a.first[x]
-                out.append((2 * int(p) + 1, block, C.pack(a.gram[x], a.ids[a.doc[x]], a.first[x], n.astype(np.uint32), a.hashes[C.ranges(a.first[x], a.first[x] + n)], ascending=1)))
+                own = lead[bounds[p] : bounds[p + 1]]
+                n = a.last[own] + window - a.first[own]
+                out.append((2 * int(p) + 1, block, C.pack(a.gram[own], a.ids[a.doc[own]], a.first[own], n.astype(np.uint32), a.hashes[C.ranges(a.first[own], a.first[own] + n)], ascending=1)))
         return pa.Table.from_pydict(dict(zip(("part", "block", "blob"), map(list, zip(*out, strict=True)) if out else ([], [], []), strict=True)), schema=C.ARROW_EVENTS)
 
     return work
@@ -316,7 +308,7 @@ def _covered(a: Anchors, got: dict, within: bool) -> np.ndarray:
         np.add.at(change, end, -1)
 
     if len(a.keys):
-        codes = _codes(got, 0, len(a.keys))
+        codes = C.codes(got, 0, len(a.keys), np.uint8)
         code, lead = a.coded(codes), a.lead[a.of_class]
         later = np.arange(len(code)) != lead if within else a.ids[a.doc] > a.ids[a.doc[lead]]
         whole = (code == LATER) | later
@@ -327,7 +319,7 @@ def _covered(a: Anchors, got: dict, within: bool) -> np.ndarray:
             if kind == HOT:
                 at, hashes, own = a.windows(chosen)
                 order, start = _distinct(hashes)
-                told = C.spread(_codes(got, 1, len(start)), start, len(order))
+                told = C.spread(C.codes(got, 1, len(start), np.uint8), start, len(order))
                 ids = a.ids[a.doc[own[order]]]
                 if within:
                     told[np.setdiff1d(np.arange(len(order)), start)] = 1
@@ -337,7 +329,7 @@ def _covered(a: Anchors, got: dict, within: bool) -> np.ndarray:
             else:
                 chosen = chosen[np.argsort(a.gram[chosen], kind="stable")]
                 at = C.ranges(a.first[chosen], a.last[chosen] + 1)
-                at = at[_codes(got, 2, len(at)) > 0]
+                at = at[C.codes(got, 2, len(at), np.uint8) > 0]
             cover(at, at + a.window)
         cover(a.first[whole], a.last[whole] + a.window)
     return np.cumsum(change[:-1]) > 0
@@ -356,11 +348,12 @@ def repeated(docs: DataFrame, unit: str, window: int, gram: int, within: bool, a
     a doc_id are not earlier than one another across blocks.
     """
     packed = C.blocks(docs, BLOCK, carry)
-    parts = C.parts_for(packed)
-    answers = C.gathered(C.each_block(packed, _first_pass(unit, window, gram, parts), C.EVENTS, C.ARROW_EVENTS), _decide(automata, most))
+    x = C.exchange_for(packed)
+    answers = C.gathered(C.each_block(packed, _first_pass(unit, window, gram, x), C.EVENTS, C.ARROW_EVENTS), _decide(automata, most), x, (C.Lane(int(SHORT)),))
     answers = C.checkpointed(answers)
-    open_ = C.answered(packed, answers, _second_pass(unit, window, gram, parts, within), C.EVENTS)
-    answers = answers.unionByName(C.gathered(open_, _resolve(window)))
+    open_ = C.answered(packed, answers, _second_pass(unit, window, gram, x, within), C.EVENTS)
+    lanes = C.Lane(8), C.Lane(ragged=True, answers=lambda arrays: int(np.sum(arrays[3].astype(np.int64) - window + 1)))
+    answers = answers.unionByName(C.gathered(open_, _resolve(window), x, lanes))
     names = ["doc_id", "n_symbols", "n_removed", "n_spans", "kept_sha256", *(["kept"] * keep)]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.string()] * keep)]
 
