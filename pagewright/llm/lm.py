@@ -27,6 +27,8 @@ from . import common as C
 BEGIN, END = np.uint64(0x3C6EF372FE94F82B), np.uint64(0x1F83D9ABFB41BD6B)
 STEP, ZERO, SHIFT = 4, 0, 400  # ratio codes: steps an octave, the code of nothing, that of one
 TOTALS, MAIN, SUMS = 0, 1, 9
+LONG = ~np.uint64(255)  # n-grams of two tokens or more are told apart by 56 bits, tokens by 64
+MOST = 5  # the highest order whose ratio codes fit a cell's 64 bits
 
 
 class Stream:
@@ -49,8 +51,9 @@ class Stream:
         self.spots = []
         total = 0
         for j in range(1, order + 1):
-            spots = np.flatnonzero(local >= j - 1)
-            keys.append(C.mix(roll.of(spots - j + 1, spots + 1) ^ np.uint64(j * 0x632BE59B)))
+            spots = np.flatnonzero(local >= pads - 1)  # n-grams that end in the last begin, a context, or a token
+            key = C.mix(roll.of(spots - j + 1, spots + 1) ^ np.uint64(j * 0x632BE59B))
+            keys.append(key if j == 1 else key & LONG)
             where = np.full(n, -1, np.int64)
             where[spots] = np.arange(total, total + len(spots))
             self.spots.append(spots)
@@ -104,15 +107,18 @@ def mixture(cells: np.ndarray, n: np.ndarray, order: int, rounds: int = 100) ->
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def deleted_interpolation(docs: DataFrame, order: int = 2, modulus: int = 7, held_out: int = 2, deleted: int = 6, block_bytes: int = 8 << 20) -> DataFrame:
+def deleted_interpolation(docs: DataFrame, order: int = 3, modulus: int = 7, held_out: int = 2, deleted: int = 6, block_bytes: int = 6 << 20) -> DataFrame:
     """Score every document; learn from those whose id's crc32 modulo ``modulus`` is not ``held_out``.
 
     Those with remainder ``deleted`` give the mixture weights, then join the counts.
     Tokens are words with A-Z in lower case, then one end.  A null text is empty
     (one token, the end); a null id hashes as empty text; repeated rows count
     each time.  Without training documents counts are zero and scores finite;
-    without a deleted part the weights stay even.
+    without a deleted part the weights stay even.  Other columns play no part.
+    ``order`` is 1 to ``MOST``.
     """
+    if not 1 <= order <= MOST:
+        raise ValueError(f"order {order} is not in 1 to {MOST}")
     docs = docs.select("doc_id", "text")
     other = C.fold("doc_id", modulus) != deleted
     packed = C.blocks(docs.where(other), block_bytes)

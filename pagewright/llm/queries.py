@@ -13,44 +13,54 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading of a document: sources in the flattest mix that passes none more than twice as often as another."""
     found = mixing.mixed(common.table(spark, sf_dir, "documents"), most_passes=2.0)
     return found.select("doc_id", "source", "epoch", "mix_weight", "n_tokens", "mix_block")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its score, from labels outside the held-out fifth, and its worst sentence."""
     return toxicity.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of each vector whose id is divisible by 20, ties to smaller ids."""
     rows = common.table(spark, sf_dir, "embeddings")
     return topk.top_k(rows, rows.where("vec_id % 20 = 0"), k=20)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: the likeliest language, learned outside the held-out fifth."""
     return langid.language_id(common.table(spark, sf_dir, "documents"))
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vector: its links at a cosine of 0.95 or more and its component."""
     return neardup.near_duplicates(common.table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.deleted_interpolation(common.table(spark, sf_dir, "documents"))
+    """One row per document: log10 probabilities by tokens alone and by the mixed trigram model."""
+    return lm.deleted_interpolation(common.table(spark, sf_dir, "documents"), order=3)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its four-word shingles and the component that links at 0.85 make."""
     return jaccard.similar(common.table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of a document, with its place in sequences of at most 4096 tokens."""
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: what its 50-byte strings that also start in a smaller doc_id take away."""
     return repeats.suffix_array_dedup(common.table(spark, sf_dir, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: what its windows of 20 words that start earlier take away."""
     return repeats.substring_dedup(common.table(spark, sf_dir, "documents"))
 
 
