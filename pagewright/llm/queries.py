@@ -104,6 +104,17 @@ links AS (SELECT a, b FROM shared JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.d
 reach AS (SELECT a AS id, b AS r FROM links UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(coalesce(m, d.doc_id), d.doc_id) AS component_id
 FROM documents AS d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT id, min(r) AS m FROM reach GROUP BY id) ON id = d.doc_id""",
+    "op9_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT doc_id, o, substr(h, 2 * o + 1, 2 * 549) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49, 500)) AS o FROM d)),
+w AS (SELECT doc_id, o + p AS p, md5_number(substr(h, 2 * p + 1, 100)) AS s FROM (SELECT doc_id, o, h, unnest(range(0, least(500, len(h) // 2 - 49))) AS p FROM pieces)),
+m AS (SELECT s, min(doc_id) AS lowest FROM w GROUP BY s HAVING count(*) > 1),
+r AS (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS after, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w JOIN m USING (s) WHERE doc_id > lowest),
+gone AS (SELECT doc_id, sum(least(50, coalesce(after - p, 50))) AS n, count(*) FILTER (before IS NULL OR p - before > 50) AS spans FROM r GROUP BY doc_id),
+gaps AS (SELECT doc_id, coalesce(before + 50, 0) AS lo, p AS hi FROM r WHERE before IS NULL OR p - before > 50 UNION ALL SELECT doc_id, max(p) + 50, NULL FROM r GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(CASE WHEN hi IS NULL THEN substr(h, 2 * lo + 1) ELSE substr(h, 2 * lo + 1, 2 * (hi - lo)) END, '' ORDER BY lo) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id""",
     "op10_substring_dedup": f"""
 WITH w AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS l FROM documents),
 windows AS (SELECT doc_id, p, md5(array_to_string(l[p:p + 19], ' ')) AS h FROM (SELECT doc_id, l, unnest(range(1, len(l) - 18)) AS p FROM w)),
