@@ -336,7 +336,7 @@ class Lane:
 Work = Callable[[int, list[int], list[list[np.ndarray]]], Iterator[dict]]
 
 
-def gathered(events: DataFrame, work: Work, x: Exchange = Exchange(1), lanes: tuple[Lane, ...] = (Lane(),)) -> DataFrame:
+def gathered(events: DataFrame, work: Work, x: Exchange, lanes: tuple[Lane, ...] = (Lane(),)) -> DataFrame:
     """All events of a part meet: ``work(part, blocks, arrays of each block)`` yields answers.
 
     ``part`` is the range (the part, where a range has only one) times the number
@@ -424,11 +424,3 @@ def answered(packed: DataFrame, answers: DataFrame, work: Callable[[int, pa.Tabl
         return out
 
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
-
-
-def cut(ordered: np.ndarray, parts: int) -> np.ndarray:
-    return Exchange(parts).cut(ordered)
-
-
-def parts_for(packed: DataFrame) -> int:
-    return exchange_for(packed).parts

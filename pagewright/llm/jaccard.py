@@ -11,11 +11,11 @@ shingle there are only 64.)  Some words more than that are made, so that words o
 one or two shingles, in which common phrases would meet, can be left out except
 for sets that have too many of them.
 
-Equal sets are one vertex.  A bucket sends its members to its least vertex (the
-leader); all pairs among a leader's members are compared, first by the Hamming
-distance of sketches in which each shingle flips one bit, then exactly.  Large
-groups are cut into chunks, and each pair of chunks is compared by itself.  Only
-spanning links come out.
+Equal sets are one vertex.  Each block asks for a bucket once, is told its least
+vertex (the leader) and sends its members there; pairs among a leader's members
+are compared, first by the Hamming distance of sketches in which each shingle
+flips one bit, then exactly.  Large groups are cut into chunks.  Only spanning
+links come out.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ SPARE = 15  # percent of a sketch's words beyond the pigeonhole bound
 MOST_BITS = 1 << 16
 BLOCK = 8 << 20
 ROWS = 20  # bits of a document's row in its block
+HEAVY, ROOM, SALTS = 512, 1 << 21, 16  # a larger group (documents; shingles of all of them) is cut into chunks
+ALL, ACROSS, CONNECTED = 0, 1, 2  # which pairs of a group are compared
 SHORT = np.uint64(16)  # bits of a bucket's key that are left out on the way: two buckets in one cost work, not links
 
 
@@ -126,16 +128,40 @@ class Sets:
         return np.concatenate([k for k, _ in out]), np.concatenate([d for _, d in out])
 
 
-def _pairs(arrays: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(leader, member) of each bucket with at least two vertices."""
-    keys, vertex = (np.concatenate(x) for x in zip(*arrays, strict=True))
+class Buckets:
+    """The distinct bucket keys of a block, ascending, and the vertices in each."""
+
+    def __init__(self, s: Sets, bands: Bands):
+        which = np.unique(s.vertex, return_index=True)[1]
+        keys, doc = s.keys(np.sort(which[s.n[which] > 0]), bands)
+        keys, vertex = keys >> SHORT, s.vertex[doc]
+        order = np.lexsort((vertex, keys))
+        self.keys, self.vertex = keys[order], vertex[order]
+        self.start = C.runs(self.keys)
+
+    def events(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key, least vertex, and whether there are others."""
+        return self.keys[self.start], self.vertex[self.start], (np.diff(np.append(self.start, len(self.keys))) > 1).astype(np.uint8)
+
+    def pairs(self, leaders: np.ndarray) -> np.ndarray:
+        """(leader, member) rows, given each key's least vertex of all blocks (0: nobody meets there)."""
+        lead = C.spread(leaders, self.start, len(self.keys))
+        keep = (lead != 0) & (lead != self.vertex)
+        return np.unique(np.stack((lead[keep], self.vertex[keep]), axis=1), axis=0)
+
+
+def _lead(part: int, own: list[int], arrays: list[list[np.ndarray]]) -> Iterator[dict]:
+    """Of each bucket with two vertices or more, the least; a block sends a bucket once, however many of its documents
+    are in it."""
+    keys, vertex, more = (np.concatenate(x) for x in zip(*arrays, strict=True))
     order = np.lexsort((vertex, keys))
-    keys, vertex = keys[order], vertex[order]
-    start = C.runs(keys)
-    lead = C.spread(vertex[start], start, len(keys))
-    keep = vertex != lead
-    pairs = np.unique(np.stack((lead[keep], vertex[keep]), axis=1), axis=0)
-    return pairs[:, 0].copy(), pairs[:, 1].copy()
+    start = C.runs(keys[order])
+    met = np.maximum.reduceat(vertex[order], start) != vertex[order][start]
+    met |= np.maximum.reduceat(more[order], start) > 0
+    out = np.empty(len(keys), np.int64)
+    out[order] = C.spread(np.where(met, vertex[order][start], 0), start, len(keys))
+    bounds = np.cumsum([0, *(len(a[0]) for a in arrays)])
+    yield {"block": own, "kind": [0] * len(own), "part": [part] * len(own), "blob": [C.pack(out[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]}
 
 
 def sketches(s: Sets, bits: int) -> list[bytes]:
@@ -157,13 +183,16 @@ def folded(words: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
-def spanning(words: list[np.ndarray], size: np.ndarray, side: np.ndarray, same: bool, bands: Bands, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+def spanning(words: list[np.ndarray], size: np.ndarray, side: np.ndarray, kind: int, bands: Bands, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose sketches differ in few enough bits and, given sets, whose sets do.
 
-    Pairs that are connected already are not compared.
+    ``kind``: ALL pairs, those ACROSS sides, or those across where the members of
+    side False are CONNECTED already.  Pairs that are connected are not compared.
     """
-    n, out = len(words), []
+    n, out, same = len(words), [], kind == ALL
     label, width = np.arange(n), np.array([len(x) for x in words])
+    if kind == CONNECTED and not side.all():
+        label[~side] = np.flatnonzero(~side)[0]
     at = {int(w): folded(words, int(w)) for w in np.unique(width)}
     for a in range(n - 1):
         other = a + 1 + np.flatnonzero(label[a + 1 :] != label[a])
@@ -190,7 +219,7 @@ def spanning(words: list[np.ndarray], size: np.ndarray, side: np.ndarray, same:
     return out
 
 
-def similar(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int = 4096) -> DataFrame:
+def similar(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int = HEAVY) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Documents link when their sets of ``width``-word shingles (A-Z in lower case)
@@ -200,11 +229,17 @@ def similar(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int = 409
     apart by 64-bit hashes, and so are shingles.
     """
     rooted = _rooted(C.blocks(docs, BLOCK), width, percent, heavy)
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rooted.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    return _dealt(rooted, least, "root").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
 
+def _dealt(documents: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Documents (by ``place``) with what is known of some keys; the rows of one key go to many tasks."""
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return documents.withColumn("salt", F.pmod(F.xxhash64("place"), F.lit(SALTS))).join(salted, [key, "salt"], "left").drop("salt")
 
-def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int = 4096) -> DataFrame:
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int = HEAVY) -> DataFrame:
     """The rows of ``docs``, one of each group of similar documents: that with the smallest doc_id, null ids last.
 
     Rows that repeat are a group; texts without words are none and stay.  Rows are
@@ -232,7 +267,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, heavy: int =
 
 def _rooted(packed: DataFrame, width: int, percent: int, heavy: int) -> DataFrame:
     """Each document's place, id, number of shingles and the vertex that stands for its component (null: no words)."""
-    parts = C.parts_for(packed)
+    x = C.exchange_for(packed)
 
     def describe(block: int, rows: pa.Table) -> Iterator[dict]:
         s = Sets(rows, width)
@@ -245,31 +280,27 @@ def _rooted(packed: DataFrame, width: int, percent: int, heavy: int) -> DataFram
     bands = Bands(percent, int(largest))
 
     def emit(block: int, rows: pa.Table) -> Iterator[dict]:
-        s = Sets(rows, width)
-        which = np.unique(s.vertex, return_index=True)[1]
-        keys, doc = s.keys(np.sort(which[s.n[which] > 0]), bands)
-        order = np.argsort(keys, kind="stable")
-        keys, vertex = keys[order], s.vertex[doc[order]]
-        bounds = C.cut(keys, parts)
-        full = [int(p) for p in np.flatnonzero(np.diff(bounds))]
-        yield {"part": full, "block": [block] * len(full), "blob": [C.pack(keys[bounds[p] : bounds[p + 1]] >> SHORT, vertex[bounds[p] : bounds[p + 1]], ascending=1) for p in full]}
-
-    def bucket(key, rows):
-        lead, member = _pairs([C.unpack(b.as_buffer().to_pybytes()) for b in rows["blob"]])
-        C.release()
-        return pa.table({"leader": lead, "member": member})
-
-    events = C.each_block(packed, emit, C.EVENTS, C.ARROW_EVENTS)
-    pairs = events.groupBy("part").applyInArrow(bucket, "leader long, member long").distinct()
-    pairs = C.checkpointed(pairs)
+        events = Buckets(Sets(rows, width), bands).events()
+        bounds = x.cut(events[0] << SHORT)
+        full = np.flatnonzero(np.diff(bounds)).tolist()
+        yield {"part": full, "block": [block] * len(full), "blob": [C.pack(*(c[bounds[p] : bounds[p + 1]] for c in events), ascending=1) for p in full]}
+
+    def meet(block: int, rows: pa.Table, got: dict) -> pa.Table:
+        b = Buckets(Sets(rows, width), bands)
+        pairs = b.pairs(C.codes(got, 0, len(b.start), np.int64))
+        return pa.table({"leader": pairs[:, 0].copy(), "member": pairs[:, 1].copy()})
+
+    leaders = C.gathered(C.each_block(packed, emit, C.EVENTS, C.ARROW_EVENTS), _lead, x, (C.Lane(int(SHORT)),))
+    pairs = C.checkpointed(C.answered(packed, leaders, meet, "leader long, member long").distinct())
     groups = pairs.select(F.col("leader").alias("group"), F.col("member").alias("vertex")).unionByName(pairs.select(F.col("leader").alias("group"), F.col("leader").alias("vertex")).distinct())
     vertices = about.where("vertex <> 0").groupBy("vertex").agg(F.min("place").alias("place"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("coarse").alias("coarse"))
-    near = components(_linked(groups.join(vertices.select("vertex", "n", F.col("coarse").alias("sketch")), "vertex"), bands, heavy, parts))
+    sizes = vertices.select("vertex", "n")
+    near = components(_linked(C.checkpointed(groups.join(sizes, "vertex")), vertices.select("vertex", F.col("coarse").alias("sketch")), bands, heavy, x.parts))
     near = C.checkpointed(near.select(F.col("component").alias("group"), F.col("id").alias("vertex")).join(vertices.drop("coarse"), "vertex"))
     sets = _sets(packed, near.select("vertex", F.shiftright("place", ROWS).alias("block")), width)
-    links = _linked(near.drop("place").join(sets, "vertex"), bands, heavy, parts)
+    links = _linked(near.select("group", "vertex", "n"), near.select("vertex", "sketch").join(sets, "vertex"), bands, heavy, x.parts)
     joined = components(links).withColumnRenamed("id", "vertex")
-    return about.join(joined, "vertex", "left").select("place", "doc_id", "n_shingles", F.when(F.col("vertex") != 0, F.coalesce("component", "vertex")).alias("root"))
+    return _dealt(about.select("place", "doc_id", "n_shingles", "vertex"), joined, "vertex").select("place", "doc_id", "n_shingles", F.when(F.col("vertex") != 0, F.coalesce("component", "vertex")).alias("root"))
 
 
 def _sets(packed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -289,30 +320,80 @@ def _sets(packed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return packed.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(fetch, "vertex long, s binary")
 
 
-def _linked(members: DataFrame, bands: Bands, heavy: int, parts: int) -> DataFrame:
-    """Spanning links (a, b) in each group of (group, vertex, n, sketch), exact if there is a set ``s`` too."""
-    exact = "s" in members.columns
-    chunks = members.groupBy("group").agg(F.ceil(F.count("*") / heavy).alias("chunks"))
-    dealt = members.join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64("vertex"), F.col("chunks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    pair = F.xxhash64("group", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    dealt = dealt.select("vertex", pair.alias("pair"), (F.col("chunk") > F.col("other")).alias("side"), (F.col("chunk") == F.col("other")).alias("same"), "n", "sketch", *(["s"] * exact))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("pair"), F.lit(4 * parts)))
+def _by_group(rows: DataFrame, of_group: DataFrame) -> DataFrame:
+    """Rows (group, vertex, ...) with what is known of their group, by an equi-join that deals a large group's rows out."""
+    salted = of_group.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("vertex"), F.lit(SALTS))).join(salted, ["group", "salt"]).drop("salt")
+
+
+def _linked(keys: DataFrame, about: DataFrame, bands: Bands, heavy: int, parts: int) -> DataFrame:
+    """Spanning links (a, b) in each group of (group, vertex, n); ``about`` has each vertex's sketch and, for exact ones, set.
+
+    A group is named by its least vertex.  Of a group with more than ``heavy``
+    members (or ``ROOM`` shingles) each chunk is first compared with that vertex.
+    The rest, which isn't linked with it, is then compared with itself, in pairs of
+    chunks, and with those that are, of which it needs one link only.  So a large
+    group of near copies costs about its size, and no task holds all of it.
+    """
+    own = ["n", *(c for c in about.columns if c != "vertex")]
+    room = heavy * (ROOM // HEAVY)
+    cut = F.greatest(F.ceil(F.count("*") / heavy), F.ceil(F.sum("n") / room))
+    large = C.checkpointed(keys.groupBy("group").agg(cut.alias("chunks")).where("chunks > 1"))
+    pair = lambda kind, a, b: F.xxhash64("group", F.lit(kind), a, b).alias("pair")
+    deal = lambda df, kind, key, side: df.select(key, F.lit(kind).alias("kind"), side.alias("side"), "vertex", *own)
+    whole = lambda df: deal(df.join(about, "vertex"), ALL, F.xxhash64("group").alias("pair"), F.lit(False))
+    if large.isEmpty():
+        return _compared(whole(keys), bands, parts)
+    small = keys.join(large, "group", "left_anti")
+    of_vertex = F.pmod(F.xxhash64("vertex"), F.lit(1 << 40))
+    crowd = C.checkpointed(_by_group(keys, large).join(about, "vertex"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    star = pair(ACROSS, F.col("chunk"), F.lit(0))
+    first = crowd.where("vertex = group").withColumn("chunk", every(F.col("chunks")))
+    others = crowd.where("vertex <> group").withColumn("chunk", of_vertex % F.col("chunks"))
+    found = C.checkpointed(_compared(whole(small).unionByName(deal(first, ACROSS, star, F.lit(True))).unionByName(deal(others, ACROSS, star, F.lit(False))), bands, parts))
+
+    linked = found.select(F.least("a", "b").alias("group"), F.greatest("a", "b").alias("vertex"))
+    names = crowd.select("group", "vertex", "n").where("vertex <> group")
+    rest = C.checkpointed(names.join(linked, ["group", "vertex"], "left_anti"))
+    if rest.isEmpty():
+        return found
+    of_rest = C.checkpointed(rest.groupBy("group").agg(cut.alias("of_rest")))
+    core = names.join(linked, ["group", "vertex"], "left_semi")
+    of_core = core.groupBy("group").agg(cut.alias("of_core"))
+    # members with the number of chunks of their own side and of the other
+    told = of_rest.join(of_core, "group", "left").withColumn("of_core", F.coalesce("of_core", F.lit(0)))
+    rest = _by_group(rest, told).withColumn("chunk", of_vertex % F.col("of_rest")).select("group", "vertex", "chunk", "of_rest", "of_core")
+    core = _by_group(core, told).withColumn("chunk", of_vertex % F.col("of_core")).select("group", "vertex", "chunk", "of_rest", "of_core")
+    payload = crowd.select("vertex", *own).dropDuplicates(["vertex"])
+    turns = rest.withColumn("other", every(F.col("of_rest")))
+    same = F.when(F.col("chunk") == F.col("other"), ALL).otherwise(ACROSS)
+    within = turns.select(F.xxhash64("group", F.lit("rest"), F.least("chunk", "other"), F.greatest("chunk", "other")).alias("pair"), same.alias("kind"), (F.col("chunk") > F.col("other")).alias("side"), "vertex")
+    of_rests = rest.where("of_core > 0").withColumn("other", every(F.col("of_core"))).select(pair(CONNECTED, F.col("other"), F.col("chunk")), F.lit(CONNECTED).alias("kind"), F.lit(True).alias("side"), "vertex")
+    of_cores = core.withColumn("other", every(F.col("of_rest"))).select(pair(CONNECTED, F.col("chunk"), F.col("other")), F.lit(CONNECTED).alias("kind"), F.lit(False).alias("side"), "vertex")
+    dealt = within.unionByName(of_rests).unionByName(of_cores).join(payload, "vertex")
+    return found.unionByName(_compared(dealt, bands, parts)).distinct()
+
+
+def _compared(dealt: DataFrame, bands: Bands, parts: int) -> DataFrame:
+    """Spanning links of each ``pair``, which is one task's work or a piece of it."""
+    exact = "s" in dealt.columns
 
     def compare(table):
-        pair, vertex, n, side, same = (table[x].to_numpy() for x in ("pair", "vertex", "n", "side", "same"))
+        pair, vertex, n, side, kind = (table[c].to_numpy() for c in ("pair", "vertex", "n", "side", "kind"))
         order = np.lexsort((vertex, pair))
-        words = [np.frombuffer(x, np.uint64) for x in table["sketch"].to_pylist()]
+        words = [np.frombuffer(w, np.uint64) for w in table["sketch"].to_pylist()]
         blobs, out = table["s"] if exact else None, ([], [])
         start = np.append(C.runs(pair[order]), len(order))
         for lo, hi in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
             if hi - lo > 1:
                 at = order[lo:hi]
                 own = [C.unpack(blobs[int(k)].as_buffer().to_pybytes())[0] for k in at] if exact else None
-                for a, b in spanning([words[k] for k in at], n[at], side[at], bool(same[at[0]]), bands, own):
+                for a, b in spanning([words[k] for k in at], n[at], side[at], int(kind[at[0]]), bands, own):
                     out[0].append(int(vertex[at[a]]))
                     out[1].append(int(vertex[at[b]]))
         C.release()
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("pair"), F.lit(4 * parts)))
     return dealt.groupBy("part").applyInArrow(compare, "a long, b long").distinct()
