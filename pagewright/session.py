@@ -26,8 +26,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Rows written to the session's checkpoint folder; one is made only where the session names none."""
+    """Rows written to the session's checkpoint folder.
+
+    Where the session names none, a local one makes its own; a cluster's executors
+    share no local folder, so there that is an error.
+    """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a shared folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
