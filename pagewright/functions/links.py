@@ -24,10 +24,23 @@ def host_name(url: Column) -> Column:
 
 
 def same_site(link: Column, url: Column) -> Column:
-    """Whether a link leads elsewhere on the same site: not to the page itself, not to another host."""
+    """Whether a link can be followed: not to the page itself, not to another host.  No link at all can be clicked."""
     relative = ~link.rlike(r"^(https?:)?//")
-    itself = (link == "") | url.endswith(link) | (link == F.lit("#"))
-    return F.coalesce(~itself & (relative | (host_name(link) == host_name(url))), F.lit(False))
+    itself = (link == "") | url.endswith(link)
+    return link.isNull() | F.coalesce(~itself & (relative | (host_name(link) == host_name(url))), F.lit(False))
+
+
+def without_dots(path: Column) -> Column:
+    """A path (from its slash to a query or fragment) without its ``.`` and ``..`` steps."""
+    bare, rest = F.regexp_extract(path, r"^([^?#]*)", 1), F.regexp_extract(path, r"^[^?#]*(.*)$", 1)
+    steps = F.split(bare, "/")
+    keep = F.aggregate(
+        F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))),
+    )
+    end = F.when(bare.rlike(r"/\.\.?$") & (F.size(keep) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(bare.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.concat_ws("/", keep), end, rest)).otherwise(path)
 
 
 def absolute(href: Column, url: Column) -> Column:
@@ -41,8 +54,8 @@ def absolute(href: Column, url: Column) -> Column:
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href == "", url)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(site, href))
+        .when(href.startswith("/"), F.concat(site, without_dots(href)))
         .when(href.startswith("?"), F.concat(page, href))
         .when(href.startswith("#"), F.concat(bare, href))
-        .otherwise(F.concat(folder, href))
+        .otherwise(F.concat(site, without_dots(F.concat(F.substr(folder, F.length(site) + 1), href))))
     )

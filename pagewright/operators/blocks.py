@@ -51,10 +51,11 @@ class Finder:
                 out.append(node)
         return out
 
-    def value_lists(self, node: Node) -> dict[str, list[str]]:
+    def value_lists(self, *nodes: Node) -> dict[str, list[str]]:
+        """Of these nodes together: main values, else fallback ones, else the default."""
         out = {}
         for r in self.rules:
-            found = self.tagged.values(node, r.name) or self.tagged.values(node, r.name, fallback=True)
+            found = [v for n in nodes for v in self.tagged.values(n, r.name)] or [v for n in nodes for v in self.tagged.values(n, r.name, fallback=True)]
             out[r.name] = found or ([r.default] if r.default is not None else [])
         return out
 
@@ -76,20 +77,16 @@ class Finder:
         found = self.candidates()
         if len(found) > 1:
             found = [self.moved_up(n) for n in found]
-        found = [n for n in found if not self.anti & set(self.main.get(n.index, ()))]
-        out = [Block(n, self.value_lists(n)) for n in found]
-        if absorb and out:
-            out[0].values = self.absorbed(out[0].node, [b.node for b in out])
-        return out
-
-    def absorbed(self, node: Node, all_: list[Node]) -> dict[str, list[str]]:
-        values = self.value_lists(node)
-        if node.parent is not None:
-            for other in node.parent.children:
-                if other.kind == "element" and not any(other is b or any(other is up for up in b.ancestors()) for b in all_):
-                    for r in self.rules:
-                        values[r.name] = values[r.name] + self.tagged.values(other, r.name)
-        return values
+        parts = [[n] for n in found]
+        if absorb and parts:
+            parts[0] += self.beside(found[0], found)
+        parts = [p for p in parts if not any(self.anti & set(self.main.get(n.index, ())) for n in p)]
+        return [Block(p[0], self.value_lists(*p)) for p in parts]
+
+    def beside(self, node: Node, all_: list[Node]) -> list[Node]:
+        """The elements next to a block that neither are nor hold a block."""
+        others = node.parent.children if node.parent is not None else []
+        return [o for o in others if o.kind == "element" and not any(o is b or any(o is up for up in b.ancestors()) for b in all_)]
 
     def whole(self) -> Block:
         """The record read from the whole page."""

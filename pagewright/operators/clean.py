@@ -10,6 +10,8 @@ from . import dom
 from .dom import Node
 
 BLANK = re.compile(r"[\s\x00]+")
+DECLARATION = re.compile(r"""(?:[^;"'(]|"[^"]*"|'[^']*'|\([^)]*\))+""")
+IMPORTANT = re.compile(r"!\s*important", re.IGNORECASE)
 QUOTED_URL = re.compile(r"url\([\"'](.*?)[\"']\)")
 
 
@@ -27,14 +29,48 @@ class Settings:
 
 
 def inline_css(root: Node, s: Settings) -> None:
-    """Declarations of style elements go into the style attribute of what their selectors match; inline ones win."""
+    """Declarations of style elements go into the style attribute of what their selectors match.
+
+    Of one property the declaration that counts is the important one, then the
+    inline one, then that of the more specific selector, then the later one.  Rules
+    inside others (media queries and the like) and other at-rules don't apply.
+    """
+    found: dict[int, tuple[Node, list[tuple[tuple, str]]]] = {}
+    order = 0
     for sheet in [n for n in root.elements() if n.tag == "style"]:
-        text = re.sub(r"(?s)/\*.*?\*/", "", sheet.content())
-        for selectors, declarations in re.findall(r"([^{}@]+)\{([^{}]*)\}", text):
-            added = declarations.strip().rstrip(";")
-            for node in dom.select(root, selectors.strip()) if added else ():
-                own = node.attrs.get("style", "")
-                node.attrs["style"] = f"{added}; {own}" if own else added
+        for selectors, declarations in plain_rules(re.sub(r"(?s)/\*.*?\*/", "", sheet.content())):
+            for selector in selectors.split(","):
+                order += 1
+                for node in dom.select(root, selector.strip()) if selector.strip() else ():
+                    own = found.setdefault(id(node), (node, []))[1]
+                    own += [((dom.specificity(selector), order), d) for d in DECLARATION.findall(declarations) if d.strip()]
+    for node, own in found.values():
+        own += [(((9, 9, 9), order + 1), d) for d in DECLARATION.findall(node.attrs.get("style", "")) if d.strip()]
+        chosen: dict[str, str] = {}
+        for important in (False, True):
+            for _, d in sorted(own, key=lambda x: x[0]):
+                if bool(IMPORTANT.search(d)) == important:
+                    name = d.split(":", 1)[0].strip().lower()
+                    chosen.pop(name, None)
+                    chosen[name] = d.strip()
+        node.attrs["style"] = "; ".join(chosen.values())
+
+
+def plain_rules(sheet: str) -> list[tuple[str, str]]:
+    """(selectors, declarations) of a sheet's outermost rules that are no at-rules."""
+    out, depth, start, head = [], 0, 0, ""
+    for m in re.finditer(r"[{}]", sheet):
+        if m[0] == "{":
+            if depth == 0:
+                head, start = sheet[start : m.start()].rsplit(";", 1)[-1].strip(), m.end()
+            depth += 1
+        elif depth:
+            depth -= 1
+            if depth == 0:
+                if head and not head.startswith("@"):
+                    out.append((head, sheet[start : m.start()]))
+                start = m.end()
+    return out
 
 
 def inline_images(root: Node, s: Settings) -> None:

@@ -65,15 +65,23 @@ class Node:
             node = node.parent
 
     def html(self) -> str:
-        if self.kind == "text":
-            return self.text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-        if self.kind == "comment":
-            return f"<!--{self.text}-->"
-        inner = "".join(c.html() for c in self.children)
-        if self.kind == "document":
-            return inner
-        attrs = "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(34), "&quot;")}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}>" if self.tag in VOID else f"<{self.tag}{attrs}>{inner}</{self.tag}>"
+        out, todo = [], [self]
+        while todo:  # nodes, and the end tags of those that are open
+            node = todo.pop()
+            if isinstance(node, str):
+                out.append(node)
+            elif node.kind == "text":
+                out.append(node.text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
+            elif node.kind == "comment":
+                out.append(f"<!--{node.text}-->")
+            else:
+                if node.kind == "element":
+                    attrs = "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(34), "&quot;")}"' for k, v in node.attrs.items())
+                    out.append(f"<{node.tag}{attrs}>")
+                if node.tag not in VOID:
+                    todo += [f"</{node.tag}>"] * (node.kind == "element")
+                    todo.extend(reversed(node.children))
+        return "".join(out)
 
 
 class _Builder(HTMLParser):
@@ -146,6 +154,12 @@ def _simple(text: str) -> Callable[[Node], bool]:
     return lambda n: n.kind == "element" and all(t(n) for t in tests)
 
 
+def specificity(selector: str) -> tuple[int, int, int]:
+    """How many ids, classes or attributes, and names a selector has."""
+    parts = [p for step in re.sub(r"[>+~]", " ", selector).split() for p in _PART.findall(step)]
+    return sum(p[0] == "#" for p in parts), sum(p[0] == "." or bool(p[2]) for p in parts), sum(not p[0] and not p[2] and p[1] != "*" for p in parts)
+
+
 def matcher(selector: str) -> Callable[[Node], bool]:
     """Selectors of tag, .class, #id, *, [attribute], combined by blanks (below) or > (child), listed by commas."""
     choices = []

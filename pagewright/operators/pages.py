@@ -16,7 +16,7 @@ from ..rules import Rule
 from . import dom
 from .blocks import Finder
 from .clean import Settings, clean
-from .pagination import pager
+from .pagination import blank, pager
 from .tagging import tag
 
 NODES = "page_id long, node_id int, parent_id int, subtree_end int, depth int, pos int, kind string, tag string, attrs map<string,string>, text string"
@@ -24,21 +24,22 @@ HITS = "page_id long, node_id int, label string, seq int, value string, is_fallb
 RECORDS = "page_id long, block int, node_id int, path string, grp int, values map<string,array<string>>"
 
 
-def per_page(pages: DataFrame, work: Callable[[dict], Iterator[tuple]], schema: str) -> DataFrame:
-    """``work`` on each row (page_id, url, html); its tuples become rows."""
+def per_page(pages: DataFrame, work: Callable[[dict], Iterator[tuple]], schema: str, also: Sequence[str] = ()) -> DataFrame:
+    """``work`` on each row (page_id, url, html); its tuples become rows, with these columns of the page as well."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    out_schema = StructType([*StructType.fromDDL(schema), *(pages.schema[c] for c in also)])
+    arrow = to_arrow_schema(out_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
-                rows = [out for row in batch.slice(lo, 64).to_pylist() for out in work(row)]
+                rows = [(*out, *(row[c] for c in also)) for row in batch.slice(lo, 64).to_pylist() for out in work(row)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", *also).mapInArrow(run, out_schema)
 
 
 def nodes(pages: DataFrame) -> DataFrame:
@@ -46,16 +47,17 @@ def nodes(pages: DataFrame) -> DataFrame:
 
     def work(row: dict) -> Iterator[tuple]:
         out: list[list] = []
-
-        def visit(node: dom.Node, parent: int | None, depth: int, pos: int) -> None:
+        below = lambda node, parent, depth: [(c, parent, depth, k) for k, c in enumerate(node.children)][::-1]
+        todo = below(dom.parse(row["html"]), None, 0)
+        while todo:
+            node, parent, depth, pos = todo.pop()
             me = len(out)
             out.append([row["page_id"], me, parent, me, depth, pos, node.kind, node.tag, list(node.attrs.items()), node.text])
-            for k, c in enumerate(node.children):
-                visit(c, me, depth + 1, k)
-            out[me][3] = len(out) - 1
-
-        for k, c in enumerate(dom.parse(row["html"]).children):
-            visit(c, None, 0, k)
+            todo += below(node, me, depth + 1)
+        for me in range(len(out) - 1, -1, -1):  # a subtree ends where its last child's does
+            parent = out[me][2]
+            if parent is not None:
+                out[parent][3] = max(out[parent][3], out[me][3])
         yield from map(tuple, out)
 
     return per_page(pages, work, NODES)
@@ -141,9 +143,10 @@ def hits(pages: DataFrame, rules: Sequence[Rule], settings: Settings | None = No
     return per_page(pages, work, HITS)
 
 
-def records(pages: DataFrame, rules: Sequence[Rule], settings: Settings | None = None, max_tag_distance: int = 2, max_label_distance: int = 3, detail: bool = False) -> DataFrame:
+def records(pages: DataFrame, rules: Sequence[Rule], settings: Settings | None = None, max_tag_distance: int = 2, max_label_distance: int = 3, detail: bool = False, also: Sequence[str] = ()) -> DataFrame:
     """Blocks of each page with the texts found for each rule: the records of a list page, or, with ``detail``, the
-    first block with what stands beside it (block 0) and the record of the whole page (block 1)."""
+    first block with what stands beside it (block 0) and the record of the whole page (block 1).  ``also``: columns of
+    the pages that go with their records."""
 
     def work(row: dict) -> Iterator[tuple]:
         root = dom.parse(row["html"])
@@ -152,26 +155,42 @@ def records(pages: DataFrame, rules: Sequence[Rule], settings: Settings | None =
         for k, b in enumerate(found):
             yield row["page_id"], k, b.node.index, "/".join(dom.path(b.node)) if b.node.kind == "element" else "", b.group, list(b.values.items())
 
-    return per_page(pages, work, RECORDS)
+    return per_page(pages, work, RECORDS, also)
 
 
-def typed_records(found: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def typed_records(found: DataFrame, rules: Sequence[Rule], also: Sequence[str] = ()) -> DataFrame:
     """Each rule's texts as one typed column."""
     from ..functions.scalars import typed
 
     columns = [typed(r.type, F.col("values")[r.name], r.conversions, r.constraints, r.translations if r.has("translated") else None, r.has("ignore_case")).alias(r.name) for r in rules]
-    return found.select("page_id", "block", "node_id", "path", *columns)
+    return found.select("page_id", "block", "node_id", "path", *columns, *also)
+
 
+def next_buttons(pages: DataFrame, current: int | str, most: int, tags: Sequence[str] = ("a", "button"), rules: Sequence[Rule] = (), settings: Settings | None = None, max_tag_distance: int = 2, **how: object) -> DataFrame:
+    """The element to click for the next page, where there is one; none once ``most`` pages are reached.
 
-def next_buttons(pages: DataFrame, current: int, most: int, tags: Sequence[str] = ("a", "button"), **how: object) -> DataFrame:
-    """The element to click for the next page, where there is one."""
+    ``current`` is the page's number or the name of the column that has it.  With
+    ``rules`` a page's blocks are found first: their texts are blanked, only what
+    stands after the last one counts, and the button nearest to their parent is taken.
+    """
 
     def work(row: dict) -> Iterator[tuple]:
-        button = pager(dom.parse(row["html"]), current, most, tags, **how)
+        number = row[current] if isinstance(current, str) else current
+        if number is None or number >= most:
+            return
+        root, own = dom.parse(row["html"]), dict(how)
+        if rules:
+            again = dom.parse(row["html"])
+            blocks = Finder(tag(clean(again, settings) if settings else again, rules), rules, max_tag_distance).records()
+            if blocks:
+                of = {n.index: n for n in root.elements()}
+                own = {"after": blocks[-1].node.index, "block_parent": of.get(blocks[0].parent.index) if blocks[0].parent else None} | own
+                blank(root, [b.node.index for b in blocks])
+        button = pager(root, number, most, tags, **own)
         if button is not None:
             yield row["page_id"], button.index, "/".join(dom.path(button)), button.content().strip()
 
-    return per_page(pages, work, "page_id long, node_id int, path string, text string")
+    return per_page(pages, work, "page_id long, node_id int, path string, text string", [current] if isinstance(current, str) else [])
 
 
 def link_rows(nodes_: DataFrame, pages: DataFrame) -> DataFrame:

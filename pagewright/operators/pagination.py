@@ -14,13 +14,18 @@ TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 
 
 def number_words(n: int) -> str:
-    """English words of a number below a thousand."""
+    """English words of a number below a million."""
     if n < 20:
         return ONES[n]
     if n < 100:
         return TENS[n // 10 - 2] + (f"-{ONES[n % 10]}" if n % 10 else "")
     rest = f" and {number_words(n % 100)}" if n % 100 else ""
-    return f"{ONES[n // 100]} hundred{rest}" if n < 1000 else str(n)
+    if n < 1000:
+        return f"{ONES[n // 100]} hundred{rest}"
+    if n >= 1_000_000:
+        return str(n)
+    rest = (", " if n % 1000 >= 100 else " and ") + number_words(n % 1000) if n % 1000 else ""
+    return f"{number_words(n // 1000)} thousand{rest}"
 
 
 def page_numbers(current: int, most: int) -> list[int]:
@@ -46,9 +51,17 @@ def clickable(node: Node, tags: Sequence[str]) -> Node:
 
 
 def buttons(root: Node, n: int, tags: Sequence[str], after: int = -1) -> list[Node]:
-    """What to click for a page number, below the last block only."""
+    """What to click for a page number, below the last block only; a script's text is none."""
     found = [clickable(t.parent, tags) for t in root.texts() if t.parent is not None and t.parent.kind == "element" and names(t.text, n)]
-    return [b for b in found if b.index > after]
+    return [b for b in found if b.index > after and b.tag != "script"]
+
+
+def blank(root: Node, blocks: Sequence[int]) -> None:
+    """Empties the elements with these numbers, so that nothing in a block is taken for a button."""
+    gone = set(blocks)
+    for node in root.elements():
+        if node.index in gone:
+            node.children = []
 
 
 def selector(node: Node) -> list[str]:
@@ -58,13 +71,13 @@ def selector(node: Node) -> list[str]:
 
 
 def pager(root: Node, current: int, most: int, tags: Sequence[str], after: int = -1, block_parent: Node | None = None, max_distance: int = 6, classes: Sequence[str] = (), levels: int = 3) -> Node | None:
-    """The button of the next page: near buttons of neighbouring numbers, in a pager by its classes if any is,
-    nearest to the blocks' parent."""
+    """The button of the next page: one near a button of this page, in a pager by its classes (whole words in any
+    case) if any is, nearest to the blocks' parent."""
     own = {n: buttons(root, n, tags, after) for n in page_numbers(current, most)}
     nexts = own.get(current + 1, [])
     here = [dom.path(b) for b in own.get(current, [])]
-    near = [b for b in nexts if any(dom.distance(dom.path(b), p) <= max_distance for p in here)] or nexts
-    marked = [b for b in near if any(c in step.split(".")[1:] for step in selector(b)[-levels:] for c in classes)]
+    near = [b for b in nexts if any(dom.distance(dom.path(b), p) <= max_distance for p in here)]
+    marked = [b for b in near if any(re.search(rf"\b{c}\b", " > ".join(selector(b)[-levels:]), re.IGNORECASE) for c in classes)]
     near = marked or near
     if not near:
         return None

@@ -50,15 +50,18 @@ def _pattern(text: str, rule: Rule) -> re.Pattern:
 
 def _kept(found: str, rule: Rule) -> str:
     """What stands before the rule's filter, stripped; unchanged where the filter finds nothing."""
-    if rule.has("filtered") and rule.filter_regex and (cut := re.search(rule.filter_regex, found)):
+    if rule.has("filtered") and rule.filter_regex and (cut := _pattern(rule.filter_regex, rule).search(found)):
         return found[: cut.start()].strip()
     return found
 
 
 def labelled(tagged: Tagged, text: Node, at: int, rule: Rule, most: int) -> bool:
-    """Whether the rule's label stands before this place, below an ancestor no more than ``most`` steps up."""
+    """Whether the rule's label stands before this place, below an ancestor no more than ``most`` steps up.
+
+    Of an element's attribute the place is the element's, and the first step the element.
+    """
     label, spots = f"${rule.name.upper()}_LABEL$", None
-    up = text.parent
+    up = text.parent if text.kind == "text" else text
     for _ in range(most + 1):
         if up is None:
             return False
@@ -89,7 +92,7 @@ def _record(tagged: Tagged, node: Node, rule: Rule, value: str) -> None:
 def _texts(tagged: Tagged, rule: Rule, pattern: re.Pattern, most: int) -> list[str]:
     out = []
     for text in tagged.root.texts():
-        if rule.has("exclusive") and re.search(rf"\b{re.escape(rule.name)}\b", text.text):
+        if rule.has("exclusive") and _pattern(rf"\b{re.escape(rule.name)}\b", rule).search(text.text):
             continue
         found = pattern.search(text.text)
         if not found or not (value := _kept(found[0], rule)):
@@ -102,13 +105,15 @@ def _texts(tagged: Tagged, rule: Rule, pattern: re.Pattern, most: int) -> list[s
     return out
 
 
-def _attributes(tagged: Tagged, rule: Rule, pattern: re.Pattern) -> list[str]:
+def _attributes(tagged: Tagged, rule: Rule, pattern: re.Pattern, most: int) -> list[str]:
     if not rule.attribute_regex:
         return []
     out, names = [], re.compile(rule.attribute_regex)
     for node in tagged.root.elements():
         for name, value in node.attrs.items():
             if names.search(name) and (found := pattern.search(value)) and (hit := _kept(found[0], rule)):
+                if rule.has("labeled") and not labelled(tagged, node, 0, rule, most):
+                    continue
                 node.attrs[name] = value.replace(hit, rule.placeholder).strip()
                 _record(tagged, node, rule, hit)
                 out.append(hit)
@@ -119,7 +124,7 @@ def _examples(tagged: Tagged, rule: Rule, most: int, attributes: bool) -> None:
     for example in rule.ordered_examples():
         pattern = _pattern(rf"\b{re.escape(example)}\b", rule)
         if attributes:
-            _attributes(tagged, rule, pattern)
+            _attributes(tagged, rule, pattern, most)
         else:
             _texts(tagged, rule, pattern, most)
 
@@ -135,7 +140,7 @@ def apply(tagged: Tagged, rule: Rule, most: int) -> None:
         pattern = _pattern(rule.regex, rule)
         for attributes in (False, True):
             if rule.has("attribute" if attributes else "text"):
-                found = _attributes(tagged, rule, pattern) if attributes else _texts(tagged, rule, pattern, most)
+                found = _attributes(tagged, rule, pattern, most) if attributes else _texts(tagged, rule, pattern, most)
                 if rule.has("replace_similar") and found:
                     similar = replace(rule, examples=tuple(dict.fromkeys(found)), tags=rule.tags & {"ignore_case", "exclusive", "attribute", "text", "fallback"})
                     _examples(tagged, similar, most, attributes)

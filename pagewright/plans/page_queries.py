@@ -152,10 +152,9 @@ def punctuation(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.punctuation_blanks(value, ["!", "?"]).alias("text"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '(?i)thing|the|of', '', 'g') AS text FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, regexp_replace(text, '(?i)thing|the|of', '', 'g') AS text FROM documents")
 def stopwords(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return docs.select("doc_id", text.remove_stopwords(F.col("text"), ["the", "of", "thing"]).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.remove_stopwords(F.col("text"), ["the", "of", "thing"]).alias("text"))
 
 
 @query("SELECT word, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM documents) GROUP BY word) ORDER BY n DESC, word LIMIT 100")

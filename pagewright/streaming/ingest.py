@@ -26,10 +26,10 @@ def read_pages(spark: SparkSession, path: str, schema: str | StructType = PAGES,
 
 
 def new_records(stream: DataFrame, rules: Sequence[Rule], settings: Settings | None = None, late: str = "2 days") -> DataFrame:
-    """Typed records of a stream of pages, each alias once within the watermark."""
-    found = pages.typed_records(pages.records(stream, rules, settings), rules)
-    timed = found.withColumn("seen", F.current_timestamp()).withWatermark("seen", late)
-    return timed.dropDuplicatesWithinWatermark(["alias"])
+    """Typed records of a stream of pages with the time of fetching, each alias once within that time's watermark;
+    records without an alias are left out."""
+    found = pages.typed_records(pages.records(stream, rules, settings, also=["fetched"]), rules, ["fetched"])
+    return found.where("alias IS NOT NULL").withWatermark("fetched", late).dropDuplicatesWithinWatermark(["alias"])
 
 
 def merge_into(path: str, order: Sequence[str] = ("page_id", "block")) -> Callable[[DataFrame, int], None]:
@@ -54,6 +54,8 @@ def merge_into(path: str, order: Sequence[str] = ("page_id", "block")) -> Callab
     return merge
 
 
-def ingest(stream: DataFrame, rules: Sequence[Rule], path: str, checkpoint: str, settings: Settings | None = None) -> StreamingQuery:
-    found = pages.typed_records(pages.records(stream, rules, settings), rules)
+def ingest(stream: DataFrame, rules: Sequence[Rule], path: str, checkpoint: str, settings: Settings | None = None, late: str = "2 days") -> StreamingQuery:
+    """The stream's new records into the catalog: those met within the watermark are stream state, older ones are
+    known by the catalog."""
+    found = new_records(stream, rules, settings, late)
     return found.writeStream.foreachBatch(merge_into(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

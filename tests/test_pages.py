@@ -50,6 +50,35 @@ def test_style_sheets():
     assert em.attrs["style"].count("right: 0") == 1 and "left" not in em.attrs["style"]
 
 
+@pytest.mark.parametrize(
+    ("sheet", "inline", "want"),
+    [
+        (".x{display:none} .x{display:block}", "", "display:block"),
+        ("p.x{display:block} .x{display:none}", "", "display:block"),
+        ("#i{color:red} p.x{color:blue}", "", "color:red"),
+        ("@media print{.x{display:none}} @import url(a.css); .x{top:0}", "", "top:0"),
+        (".x{color:red !important; top:0}", "color:blue", "top:0; color:red !important"),
+        (".x{background:url('a;b{c}')}", "color:blue", "background:url('a;b{c}'); color:blue"),
+        ("@font-face{font-family:y} @supports (a:b){.x{left:0}} .x{right:0}", "", "right:0"),
+    ],
+)
+def test_cascade(sheet, inline, want):
+    if "{c}" in sheet:
+        sheet, want = sheet.replace("{c}", ""), want.replace("{c}", "")
+    root = clean(dom.parse(f"<head><style>{sheet}</style></head><body><p class='x' id='i'{f' style={chr(34)}{inline}{chr(34)}' if inline else ''}>t</p></body>"), Settings())
+    assert next(n for n in root.elements() if n.tag == "p").attrs["style"] == want
+
+
+def test_deep_pages(spark):
+    """A page nested thousands deep is a page like any other."""
+    html = "<div>" * 5000 + "x" + "</div>" * 5000
+    assert dom.parse(html).html() == html
+    df = spark.createDataFrame([(1, "http://h.com", html)], "page_id long, url string, html string")
+    rows = pages.nodes(df).collect()
+    assert len(rows) == 5001 and max(r.depth for r in rows) == 5000 and {r.subtree_end for r in rows} == {5000}
+    assert pages.cleaned(df, Settings()).first().html == html
+
+
 PAGE = '<div><a href="/replace-me"><span>REPLACE ME</span></a><a href="/REPLACE-ME"><span>replace me</span></a><a href="/stay"><span>Not this</span></a></div>'
 
 
@@ -84,6 +113,38 @@ def test_chained_exclusive_similar_fallback():
     assert texts(t) == ["id: $KEY$", "$KEY$ again"]
 
 
+def test_flags_hold_for_every_pattern_of_a_rule():
+    rule = Rule("make", tags={"example_driven", "text", "exclusive", "ignore_case"}, examples=("vw",))
+    assert texts(tag(dom.parse("<p>$MAKE$ vw</p><p>VW</p>"), [rule])) == ["$MAKE$ vw", "$MAKE$"]
+    rule = Rule("make", tags={"example_driven", "text", "exclusive"}, examples=("vw",))
+    assert texts(tag(dom.parse("<p>$MAKE$ vw</p>"), [rule])) == ["$MAKE$ $MAKE$"]
+    rule = Rule("part", tags={"regex_driven", "text", "filtered", "ignore_case"}, regex="keep.*", filter_regex="stop")
+    assert [h.value for h in tag(dom.parse("<p>Keep this STOP that</p>"), [rule]).hits] == ["Keep this"]
+
+
+def test_labels_of_attributes():
+    rule = Rule("km", tags={"regex_driven", "attribute", "labeled"}, regex=r"\d+", attribute_regex="^data", labels=("Mileage",))
+    html = "<section><p>Mileage</p><b data-x='12'>x</b></section><section><b data-x='34'>y</b><p>Mileage</p></section>"
+    assert [h.value for h in tag(dom.parse(html), [rule], 1).hits] == ["12"]
+    assert tag(dom.parse("<b data-x='12'>Mileage</b>"), [rule], 0).hits == []
+
+
+def test_what_stands_beside_a_block():
+    """Siblings count like the block itself: before fallbacks and defaults, and for what rules a block out."""
+    rules = [
+        Rule("alias", tags={"regex_driven", "attribute"}, regex=r"/\w+", attribute_regex="^href$", required=True),
+        Rule("number", tags={"regex_driven", "text", "fallback"}, regex=r"\d+", default="0"),
+        Rule("sold", tags={"example_driven", "text", "anti_attribute"}, examples=("SOLD",)),
+    ]
+    html = "<body><a href='/x'>x</a><p>42</p></body>"
+    block = Finder(tag(dom.parse(html), rules), rules).blocks(absorb=True)[0]
+    assert block.values["number"] == ["42"] and block.alias == "/x"
+    assert Finder(tag(dom.parse(html.replace("42", "-")), rules), rules).blocks(absorb=True)[0].values["number"] == ["0"]
+    two = "<body><div><a href='/x'>x</a></div><div><a href='/y'>y</a></div><p>SOLD</p></body>"
+    found = Finder(tag(dom.parse(two), rules), rules)
+    assert [b.alias for b in found.blocks()] == ["/x", "/y"] and [b.alias for b in found.blocks(absorb=True)] == ["/y"]
+
+
 def test_labels():
     rule = Rule("km", tags={"regex_driven", "text", "labeled"}, regex=r"\d+", labels=("Mileage",))
     t = tag(dom.parse("<div><p>12</p><ul><li>Mileage</li><li>34</li></ul></div><section><div><p>56</p></div></section>"), [rule], max_label_distance=2)
@@ -130,6 +191,12 @@ def test_pager():
     button = pagination.pager(root, 1, 9, ("a",), after=3, classes=("pg",))
     assert button.tag == "a" and button.content() == "2"
     assert pagination.pager(root, 2, 9, ("a",), after=3).content() == "three"
+    far = dom.parse("<body><p>1</p>" + "<div>" * 9 + "<a>2</a>" + "</div>" * 9 + "</body>")
+    assert pagination.pager(far, 1, 9, ("a",)) is None
+    mixed = dom.parse("<body><p>1</p><script>2</script><a>2</a><i class='Main PAGER-x'><a>2</a></i></body>")
+    assert pagination.pager(mixed, 1, 9, ("a",)).index == 3
+    assert pagination.pager(mixed, 1, 9, ("a",), classes=("pager",)).parent.tag == "i"
+    assert pagination.number_words(1234) == "one thousand, two hundred and thirty-four" and pagination.number_words(21_005) == "twenty-one thousand and five"
     assert pagination.page_numbers(1, 2) == [1, 2] and pagination.page_numbers(5, 6) == [3, 4, 5, 6]
     assert pagination.number_words(42) == "forty-two" and pagination.names("Forty two", 42)
     assert [n.tag for n in pagination.view_more(dom.parse("<a><i>View More</i></a>"), ["view more"], ("a",))] == ["a"]
@@ -159,6 +226,17 @@ def test_node_table_against_the_tree(spark):
     assert len(got) == sum(len(list(dom.parse(h).walk())) - 1 for h in html)
 
 
+def test_next_buttons_after_the_blocks(spark):
+    pager = "<div><a>1</a><a>2</a></div>"
+    html = f"<body>{pager}{LIST.removeprefix('<body>').removesuffix('</body>').replace('again', '2')}{pager}</body>"
+    df = frame(spark, html, html).withColumn("n", F.col("page_id") + 1)
+    first = pages.next_buttons(df, 1, 9).collect()
+    after = pages.next_buttons(df, 1, 9, rules=RULES, max_tag_distance=1).collect()
+    assert {r.path for r in first} == {"body/div[1]/a[2]"} and {r.path for r in after} == {"body/div[2]/a[2]"}
+    assert [r.page_id for r in pages.next_buttons(df, "n", 9).collect()] == [0]  # page 2 has no button for a third
+    assert pages.next_buttons(df, 1, 1).count() == 0
+
+
 def test_distance_column(spark):
     rows = [(["a", "b"], ["a", "b"]), (["a", "b[1]"], ["a", "b[2]"]), (["a"], ["a", "c"]), (["a", "b", "c"], ["a", "d"]), (["x"], ["y", "z"])]
     df = spark.createDataFrame(rows, "a array<string>, b array<string>")

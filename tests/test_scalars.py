@@ -82,7 +82,7 @@ def test_links(spark, link, url, want):
     assert df.select(links.format_link(F.col("l"), F.col("u"))).first()[0] == want
 
 
-@pytest.mark.parametrize("ref", ["x", "/x", "//h/x", "?q", "#f", "", "http://z/y", "mailto:a@b", "y/z?k=1"])
+@pytest.mark.parametrize("ref", ["x", "/x", "//h/x", "?q", "#f", "", "http://z/y", "mailto:a@b", "y/z?k=1", "../x", "./x", "../../../x?a=../b", "a/../b/./c", "/a/../b", "..", ".", "a/..", "/.", "x/../#f", "a..b/.c"])
 @pytest.mark.parametrize("url", ["http://a.com/b/c?d#e", "https://a.com", "http://a.com/b/"])
 def test_absolute(spark, ref, url):
     from urllib.parse import urljoin
@@ -92,7 +92,7 @@ def test_absolute(spark, ref, url):
 
 
 def test_same_site(spark):
-    rows = [("/x", "http://www.a.com/p", True), ("p", "http://a.com/p", False), ("http://a.org/q", "http://a.com/p", True), ("http://b.com/q", "http://a.com/p", False), ("", "http://a.com", False), (None, "http://a.com", False)]
+    rows = [("/x", "http://www.a.com/p", True), ("p", "http://a.com/p", False), ("http://a.org/q", "http://a.com/p", True), ("http://b.com/q", "http://a.com/p", False), ("", "http://a.com", False), (None, "http://a.com", True), ("#", "http://a.com/p", True)]
     df = spark.createDataFrame(rows, "l string, u string, w boolean")
     assert all(r.w == r.got for r in df.withColumn("got", links.same_site(F.col("l"), F.col("u"))).collect())
 
