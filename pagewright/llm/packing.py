@@ -290,13 +290,16 @@ def planned(counts: np.ndarray, capacity: int, groups: int, share: float) -> tup
 
 
 def ranked(rows: DataFrame, salts: int) -> DataFrame:
-    """``rank`` of each row among those of its length, from 0, by sums over salts: no length meets in one task."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    """``rank`` of each row among those of its length, from 0, by sums over salts: no length meets in one task.
+
+    ``rows`` are checkpointed, so that their places stay; they tell rows apart that are alike in all columns.
+    """
+    salted = rows.withColumn("at", F.monotonically_increasing_id()).withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(salts)))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("at")) - 1
     salted = salted.withColumn("within", within).join(before.drop("n"), ["length", "salt"])
-    return salted.withColumn("rank", F.coalesce("before", F.lit(0)) + F.col("within")).drop("salt", "before", "within")
+    return salted.withColumn("rank", F.coalesce("before", F.lit(0)) + F.col("within")).drop("salt", "before", "within", "at")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int = 1, settings: tuple[tuple[int, float], ...] = SETTINGS, keep_ids: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ def test_exponent(tokens):
     assert mixing.bisect(tokens, 99.0, None) == (0.0 if len(tokens) > 1 else 1.0)
 
 
-@pytest.mark.parametrize("how", [{"most_passes": 2.5}, {"target_entropy": 1.2, "most_passes": None}, {"most_passes": 3.0, "budget": 900}])
+@pytest.mark.parametrize("how", [{"most_passes": 2.5}, {"target_entropy": 1.2, "most_passes": None}, {"most_passes": 3.0, "budget": 900}, {"most_passes": 2.5, "most_sources": 1}, {"target_entropy": 1.2, "most_passes": None, "most_sources": 0}, {"most_passes": 3.0, "budget": 900, "most_sources": 2}])
 def test_places(spark, how):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, epoch string").repartition(3)
