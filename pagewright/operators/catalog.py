@@ -99,6 +99,29 @@ def save(records: DataFrame, prices: DataFrame, sessions: DataFrame, seen: DataF
     return out, append_prices(prices, rows.select("alias", "price"), out.select("id", "alias"), F.lit(session_id).cast("long"), as_of)
 
 
+#: The columns of a stored record, in their order.
+STORED = ("alias", "title", "make", "model", "variant", "year", "mileage", "link", "session_id", "sharepoint_link", "image_hash", "fuel_type", "transmission")
+
+
+def formatted(rows: DataFrame, order: Sequence[Column | str], url: Column, stored: DataFrame, with_images: DataFrame) -> DataFrame:
+    """Found records as they are stored: the first row of each alias, links made whole, what wasn't found null.
+
+    Those that are stored already (``stored``, by alias) and have an image
+    (``with_images``) are left out.
+    """
+    from ..functions.links import format_link
+
+    done = stored.select("alias").join(with_images.select("alias"), "alias", "left_semi")
+    rows = new_only(first_by_alias(rows.withColumn("link", format_link(F.col("link"), url)), order), done)
+    return rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in STORED))
+
+
+def new_counts(rows: DataFrame, known: DataFrame, by: str, key: str = "alias") -> DataFrame:
+    """For each page (``by``) the number of its rows whose alias isn't known."""
+    fresh = new_only(rows, known, key).groupBy(by).agg(F.count("*").alias("n"))
+    return rows.select(by).distinct().join(fresh, by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def page_status(sessions: DataFrame, least: int) -> DataFrame:
     """``result`` of each page: too few records asks for another try."""
     return sessions.withColumn("result", F.when(F.col("found_count") < least, "too few records").otherwise("ok"))

@@ -345,3 +345,22 @@ def cache_refreshed(spark, sf_dir):
     cache = _cache(spark, sf_dir)
     new = spark.range(1).select(F.lit(0).cast("long").alias("id"), F.lit("ALL").alias("cache_type"), F.lit(None).cast("date").alias("date"), F.lit("x").alias("data"))
     return api.refreshed(cache, new, F.lit("2024-01-30").cast("date"), 10).select("cache_type", "id")
+
+
+@query(with_views(f"SELECT session_id, count(*) FILTER (WHERE alias NOT IN (SELECT alias FROM ({SEEN_SQL}))) AS n FROM records GROUP BY session_id"))
+def new_block_counts(spark, sf_dir):
+    """How many blocks of each page are new."""
+    return catalog.new_counts(view(spark, sf_dir, "records"), seen(spark, sf_dir), "session_id")
+
+
+@query(
+    with_views(
+        f"""SELECT r.alias, r.title, r.make, r.model, NULL AS variant, r.year, r.mileage, concat(s.url, substr(r.link, 2)) AS link, r.session_id, NULL AS sharepoint_link, NULL AS image_hash, NULL AS fuel_type, NULL AS transmission
+        FROM (SELECT *, CASE WHEN link IS NULL THEN 0 ELSE 1 END AS has FROM records) r JOIN sessions s ON s.id = r.session_id WHERE r.has = 1 AND NOT (r.image_link IS NOT NULL AND r.alias IN (SELECT alias FROM ({SEEN_SQL})))"""
+    )
+)
+def formatted_records(spark, sf_dir):
+    """Records with a link in the thirteen columns that are stored."""
+    records = view(spark, sf_dir, "records")
+    rows = records.where("link IS NOT NULL").join(view(spark, sf_dir, "sessions").select(F.col("id").alias("session_id"), "url"), "session_id")
+    return catalog.formatted(rows, ["id"], F.col("url"), seen(spark, sf_dir), records.where("image_link IS NOT NULL"))
