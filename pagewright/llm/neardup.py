@@ -13,12 +13,13 @@ count once, with a weight.
 
 Vectors within less than half the threshold's angle of one centre are all linked.
 Where a cell has more than ``heavy`` members, those near its mean become such a
-ball, which is compared as one vector with a radius: two balls, or a ball and a
-vector, are linked as a whole, not at all, or open.  Open balls are dissolved and
-the comparison is done again, until none is open.  A cell that is still large is cut into chunks, and
-each pair of chunks is a group of its own: nothing is dropped and no task holds a
-whole hot cell.  Groups put out sums per vector and a spanning tree of their
-links, never the pairs.
+ball, which is compared as one vector with a radius in every cell that one of its
+members is in: two balls, or a ball and a vector, are linked as a whole, not at
+all, or open.  Open balls are dissolved and the comparison is done again, until
+none is open.  A cell that is still large is cut into chunks, and each pair of
+chunks is a group of its own: nothing is dropped and no task holds a whole hot
+cell.  Groups put out sums per vector and a spanning tree of their links; pairs
+only of balls, which may meet in several cells and count once.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def linked(group: np.ndarray, side: np.ndarray, same: np.ndarray, table: np.ndarray, v: np.ndarray, ids: np.ndarray, radius: np.ndarray, p: Projections) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row pairs within groups that pass the count and the cosine, each by the first table they share, and whether
-    they are open."""
+    they are open.  Pairs with a ball pass by the cosine of its centre alone, in each group they share."""
     order = np.lexsort((ids, side, group))
     group, side = group[order], side[order]
     start = C.runs(group)
@@ -130,10 +131,11 @@ def linked(group: np.ndarray, side: np.ndarray, same: np.ndarray, table: np.ndar
         at = upto
         keep = (side[a] != side[b]) | same[order[a]]
         a, b = order[a[keep]], order[b[keep]]
-        keep = np.argmax(cells[a] == cells[b], axis=1) == table[a]
+        keep = (radius[a] + radius[b] > 0) | (np.argmax(cells[a] == cells[b], axis=1) == table[a])
         a, b = a[keep], b[keep]
         count = (np.abs(lines[a] - lines[b]) <= np.float32(p.window * p.spread)).sum(axis=1)
-        a, b = a[count >= p.needed], b[count >= p.needed]
+        keep = (radius[a] + radius[b] > 0) | (count >= p.needed)
+        a, b = a[keep], b[keep]
         cosine, both = np.einsum("ij,ij->i", u[a], u[b]), radius[a] + radius[b]
         least = np.where(both > 0, np.cos(np.maximum(angle - both - SLACK, 0)), p.cosine)
         keep = cosine >= np.where(both > 0, np.cos(np.minimum(angle + both + SLACK, np.pi)), p.cosine)
@@ -158,15 +160,18 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.95, heavy: int = 1024, pr
     classes = C.checkpointed(ok.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")).withColumn("radius", F.lit(0.0)))
     parts = max(8, -(-classes.count() * p.tables // 50_000))
     members, centres = _balls(classes, p, heavy)
+    places = C.checkpointed(_in_cells(classes.join(members.select("id"), "id", "left_semi"), p).select("cell", "t", "dim", "id"))
     while True:  # each round that doesn't end it removes a ball
-        entities = classes.join(members.select("id"), "id", "left_anti").unionByName(centres)
-        found = _compared(entities, p, heavy, parts)
+        of_balls = places.join(members, "id").select("cell", "t", "dim", F.col("ball").alias("id")).distinct()
+        of_balls = of_balls.join(_in_cells(centres, p).where("t = 0").select("id", "weight", "radius", "v"), "id")
+        single = _in_cells(classes.join(members.select("id"), "id", "left_anti"), p)
+        found = _compared(single.unionByName(of_balls), p, heavy, parts)
         open_ = found.where("open").select("id").distinct().join(centres.select("id"), "id", "left_semi")
         if open_.isEmpty():
             break
         members = C.checkpointed(members.join(open_.withColumnRenamed("id", "ball"), "ball", "left_anti"))
         centres = C.checkpointed(centres.join(open_, "id", "left_anti"))
-    found = found.where("NOT open")
+    found = found.where("NOT open AND NOT pair").select("id", "n", "root").unionByName(found.where("pair").select("id", "n", "root").distinct())
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     balls = members.select("id", "ball").join(centres.select(F.col("id").alias("ball"), F.col("weight").alias("in_ball")), "ball")
@@ -269,9 +274,9 @@ def _balls(classes: DataFrame, p: Projections, heavy: int) -> tuple[DataFrame, D
     return C.checkpointed(chosen.select("id", "cell").join(balls.select("cell", "ball"), "cell").select("id", "ball")), C.checkpointed(vectors_.select("embedding", "id", "weight", "radius"))
 
 
-def _compared(entities: DataFrame, p: Projections, heavy: int, parts: int) -> DataFrame:
-    """By group: how many vectors are linked to each, the smallest one linked with it, and those that are open."""
-    placed = _in_cells(entities, p)
+def _compared(placed: DataFrame, p: Projections, heavy: int, parts: int) -> DataFrame:
+    """By group: how many vectors are linked to each and the smallest one linked with it; links of balls as pairs,
+    in both directions; and the balls that are open."""
     crowded = C.checkpointed(placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     often = crowded.where(F.col("n") > heavy).withColumn("chunks", F.ceil(F.col("n") / heavy)).select("cell", "chunks")
     placed = placed.join(crowded.select("cell"), "cell", "left_semi").join(often, "cell", "left")
@@ -281,20 +286,25 @@ def _compared(entities: DataFrame, p: Projections, heavy: int, parts: int) -> Da
     placed = placed.select(group.alias("group"), (F.col("chunk") > F.col("other")).alias("side"), (F.col("chunk") == F.col("other")).alias("same"), "t", "id", "weight", "radius", "dim", "v").withColumn("part", F.pmod(F.xxhash64("group"), F.lit(parts)))
 
     def compare(table):
-        out = ([], [], [], [])
+        out = ([], [], [], [], [])
         dims = table["dim"].to_numpy()
         for dim in np.unique(dims):
             some = table.filter(pa.array(dims == dim))
             ids, weight, group_, side, same, t, radius = (some[x].to_numpy() for x in ("id", "weight", "group", "side", "same", "t", "radius"))
             a, b, open_ = linked(group_, side, same, t, _vectors(some["v"], dim), ids, radius, p)
             wide = np.unique(np.concatenate((ids[a[open_ & (radius[a] > 0)]], ids[b[open_ & (radius[b] > 0)]])))
-            a, b = a[~open_], b[~open_]
+            ball = ~open_ & (radius[a] + radius[b] > 0)
+            x, y = np.concatenate((a[ball], b[ball])), np.concatenate((b[ball], a[ball]))
+            pairs = np.unique(np.stack((ids[x], weight[y], ids[y]), axis=1), axis=0)
+            a, b = a[~open_ & ~ball], b[~open_ & ~ball]
             names, at = np.unique(ids, return_inverse=True)
             a2, b2 = at[a], at[b]
             n = np.bincount(a2, weight[b], minlength=len(names)) + np.bincount(b2, weight[a], minlength=len(names))
             hit = np.flatnonzero(n)
-            for x, y in zip(out, ((names[hit], wide), (n[hit].astype(np.int64), np.zeros(len(wide), np.int64)), (names[labels(len(names), a2, b2)][hit], wide), (np.zeros(len(hit), bool), np.ones(len(wide), bool))), strict=True):
-                x += y
-        return pa.table({k: pa.array(np.concatenate(x) if x else np.zeros(0, bool if k == "open" else np.int64)) for k, x in zip(("id", "n", "root", "open"), out, strict=True)})
+            parts_ = (names[hit], n[hit].astype(np.int64), names[labels(len(names), a2, b2)][hit]), tuple(pairs.T), (wide, 0 * wide, wide)
+            for kind, columns in enumerate(parts_):
+                for x, y in zip(out, (*columns, np.full(len(columns[0]), kind == 1), np.full(len(columns[0]), kind == 2)), strict=True):
+                    x.append(y)
+        return pa.table({k: pa.array(np.concatenate(x) if x else np.zeros(0, bool if k in ("pair", "open") else np.int64)) for k, x in zip(("id", "n", "root", "pair", "open"), out, strict=True)})
 
-    return C.checkpointed(placed.groupBy("part").applyInArrow(compare, "id long, n long, root long, open boolean"))
+    return C.checkpointed(placed.groupBy("part").applyInArrow(compare, "id long, n long, root long, pair boolean, open boolean"))

@@ -98,6 +98,27 @@ def test_balls_that_come_to_light_late(spark, monkeypatch):
     assert sum(got[i][1:] == want[i][1:] for i in got) >= 0.98 * len(got)
 
 
+@pytest.mark.parametrize("dim", [3, 4, 12])
+def test_links_at_the_edge_of_a_ball(spark, dim):
+    """Vectors farther from a ball's centre than the threshold, linked with members at its edge only."""
+    rnd = np.random.default_rng(dim)
+    centre = np.eye(dim)[0]
+
+    def at(degrees):
+        side = rnd.normal(size=dim) * (np.arange(dim) > 0)
+        side /= np.linalg.norm(side)
+        return centre * np.cos(np.radians(degrees)) + side * np.sin(np.radians(degrees))
+
+    rows = [(k, at(d).tolist()) for k, d in enumerate([*rnd.uniform(0, 7.5, 300), *rnd.uniform(19, 25, 80), *rnd.uniform(40, 90, 60)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(df, heavy=64).collect()}
+    want = brute(rows, 0.95)
+    far = [k for k in range(300, 380) if want[k][0]]
+    assert far
+    assert sum(got[k][0] for k in far) >= 0.95 * sum(want[k][0] for k in far)
+    assert all(got[k][0] <= want[k][0] for k in got)
+
+
 def test_recall_at_the_threshold():
     rnd = np.random.default_rng(0)
     p, n = neardup.Projections(0.95), 3000
