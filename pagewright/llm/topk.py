@@ -64,7 +64,7 @@ def best(query: np.ndarray, own: int, table_row: np.ndarray, rows: np.ndarray, t
     return kept, scores, at
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, n_pivots: int = 32, block: int = 8192, query_block: int = 1024, sample: int = 2048) -> DataFrame:
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64.0, n_pivots: int = 32, block: int = 1 << 22, query_block: int = 1 << 18, tasks: int = 24, sample: int = 2048) -> DataFrame:
     """For each query the k candidates with the largest integer inner product; ties go to the smaller vec_id.
 
     Both have (vec_id, embedding).  Components become floor(scale * x) in double
@@ -73,15 +73,21 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: float =
     compared.  Candidates with the query's vec_id are its own; queries that share
     a vec_id are asked once (the smallest vector).  Pivots come from ``sample``
     rows in the order of a hash of the id.  Scores are exact while they fit 63 bits.
+
+    A block of candidates holds about ``block`` components, one of queries
+    ``query_block``: each side is sent once for each block of the other, and a query
+    gets k rows from each block of candidates, so blocks are as large as a task can
+    well hold.  Smaller tables are cut into up to ``tasks`` blocks of candidates.
     """
     whole = lambda df: vectors.valid(df).select("vec_id", F.transform("embedding", lambda x: F.floor(x * F.lit(scale))).alias("v")).withColumn("dim", F.size("v"))
     rows, asked = whole(candidates), whole(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    n, n_asked = rows.count(), asked.count()
+    size = lambda df: df.agg(F.count("*"), F.coalesce(F.sum("dim"), F.lit(0))).first()
+    (n, held), (_, held_asked) = size(rows), size(asked)
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
     tables: dict[int, np.ndarray] = {}
     for dim in {len(r.v) for r in drawn}:
         tables[dim] = pivots(np.array([r.v for r in drawn if len(r.v) == dim], np.float64), n_pivots)
-    n_blocks, n_query_blocks = max(1, -(-n // block)), max(1, -(-n_asked // query_block))
+    n_blocks, n_query_blocks = max(1, -(-held // block), min(tasks, -(-n // 1024))), max(1, -(-held_asked // query_block))
 
     def packed(df: DataFrame, n_own: int, n_other: int, own: str, other: str) -> DataFrame:
         """(own block, dim, ids, vectors, pivot table), once for each block of the other side."""
@@ -94,7 +100,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: float =
             blob = C.pack(table["vec_id"].to_numpy(), small.reshape(-1), d.reshape(-1))
             return pa.table({own: pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([dim], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
-        df = df.withColumn(own, F.pmod(F.xxhash64("vec_id"), F.lit(n_own)))
+        df = df.withColumn(own, F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_own)))
         return df.groupBy(own, "dim").applyInArrow(run, f"{own} long, dim int, blob binary").withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
 
     left = packed(rows, n_blocks, n_query_blocks, "c", "q").groupBy("dim", "c", "q")
