@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,14 +55,26 @@ def parse_date(value: Column) -> Column:
 
     Missing parts are 01, as is the day of dates that begin with the year; dashes do not separate.
     """
-    value = F.regexp_replace(value, r"[\s,/\\]", ".")
-    year = F.regexp_extract(value, r"(\d{4}$|^\d{4})", 1)
-    rest = F.regexp_replace(value, r"\d{4}$|^\d{4}", "y")
-    found = F.regexp_extract(rest, r"(\d{1,2}\.y$|^y\.\d{1,2})", 1)
-    month = F.regexp_replace(found, r".?y.?", "")
-    day = F.regexp_extract(F.replace(rest, found, F.lit("")), r"^(\d{1,2})", 1)
-    out = F.when(found == "", F.concat(year, F.lit("-01-01"))).when(day == "", F.concat_ws("-", year, month, F.lit("01"))).otherwise(F.concat_ws("-", year, month, day))
-    return F.when(year != "", out)
+    return _once(
+        F.regexp_replace(value, r"[\s,/\\]", "."),
+        lambda v: _once(F.regexp_extract(v, r"(\d{4}$|^\d{4})", 1), lambda year: F.when(year != "", _once(F.regexp_replace(v, r"\d{4}$|^\d{4}", "y"), lambda rest: _dated(year, rest)))),
+    )
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _dated(year: Column, rest: Column) -> Column:
+    """The date of a year and of the text with y in the year's place."""
+
+    def parts(found: Column) -> Column:
+        day = F.regexp_extract(F.replace(rest, found, F.lit("")), r"^(\d{1,2})", 1)
+        month = F.regexp_replace(found, r".?y.?", "")
+        return F.when(found == "", F.concat(year, F.lit("-01-01"))).otherwise(_once(day, lambda d: F.concat_ws("-", year, month, F.when(d == "", F.lit("01")).otherwise(d))))
+
+    return _once(F.regexp_extract(rest, r"(\d{1,2}\.y$|^y\.\d{1,2})", 1), parts)
 
 
 def parse_date_iso(value: Column) -> Column:
