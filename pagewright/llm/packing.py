@@ -15,8 +15,8 @@ place from their rank among those of equal length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +28,31 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SETTINGS = ((24, 1 / 8), (48, 1 / 4), (24, 1 / 3), (48, 1 / 2))
-KEEP, LATER, TEXT = 200_000, 150_000, 1 << 18
-MARKS = ".,;:!?"
+RECENT, TEXT, WORDS = 300_000, 1 << 23, 1 << 20
+BLANKS = np.arange(256, dtype=np.uint8)
+BLANKS[[9, 10, 13]] = 32
+MARKS = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+
+
+def byte_letters() -> dict[int, str]:
+    """The tokenizer's two characters for each letter from U+00DF to U+00FF, one for each of its bytes."""
+    printed = [*range(33, 127), *range(0xA1, 0xAD), *range(0xAE, 256)]
+    letter = {b: chr(b) for b in printed}
+    letter |= {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)}.difference(printed)))}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0xDF, 256)}
 
 
 class Encoder:
     """Token ids of whole texts as bytes; words between ASCII blanks are encoded once and kept.
 
-    The tokenizer lower-cases, and its pieces never mix letters and other marks: of
-    words of ASCII letters, a capital at the start and one mark at the end need no
-    encoding of their own.  All other words are given to the tokenizer whole, as
-    composing and lower-casing letters can make marks and join them.
-    The first ``KEEP`` words, the frequent ones among them, stay; later ones are
-    forgotten from time to time, so that memory is bounded.
+    The tokenizer lower-cases, and its pieces never hold a letter before a mark.
+    So letters up to U+00FF are made small, unless what follows could be composed with them, and
+    a word is cut where an ASCII mark follows such a letter.  Words of small letters up to U+00FF skip the
+    tokenizer's first steps, which leave them as they are; all others are given to it whole.
+    Texts are cut into words, and words told apart, in numpy and Arrow; only distinct words
+    of ``WORDS`` at a time are met one by one.  ``RECENT`` words and those of one turn more are
+    kept; when a new turn begins, words not met in the one before are forgotten.
     """
 
     def __init__(self, path: str):
@@ -51,25 +63,20 @@ class Encoder:
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        # words of letters a-z only stay as they are up to the merges
+        # small letters, as characters of their bytes, stay as they are up to the merges
         self.plain.normalizer, self.plain.pre_tokenizer = Sequence([]), WhitespaceSplit()
-        self.known, self.first = {"": b""}, None
-        self._encode(list(MARKS))
+        self.letters = byte_letters()
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)).encode(), re.IGNORECASE).search
+        self.known: dict[str, bytes] = {}
+        self.before = self.known
 
-    def _encode(self, words: list[str]) -> None:
+    def _joined(self, tokenizer, words: list[str], given: list[str], gap: str) -> None:
         """Many words at a time, with a mark between them that none of them holds."""
-        odd = [w for w in words if "\0" in w or "<|" in w]
-        for w in odd:
-            self.known[w] = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
-        plain = [w for w in words if w.isascii() and w.isalpha() and w.islower()]
-        skip = {*odd, *plain}
-        self._joined(self.plain, plain, "!")
-        self._joined(self.tokenizer, [w for w in words if w not in skip], "\0")
-
-    def _joined(self, tokenizer, words: list[str], gap: str) -> None:
-        joined = [words[k : k + 50] for k in range(0, len(words), 50)]
         mark = self.tokenizer.encode(gap, add_special_tokens=False).ids
-        for some, found in zip(joined, tokenizer.encode_batch_fast([f" {gap} ".join(x) for x in joined], add_special_tokens=False), strict=True):
+        joined = [f" {gap} ".join(given[k : k + 50]) for k in range(0, len(given), 50)]
+        for k, found in enumerate(tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            some = words[50 * k : 50 * k + 50]
             ids = np.array(found.ids, "<u4")
             cut = np.flatnonzero(ids == mark[0]).tolist()
             data = ids.tobytes()
@@ -77,23 +84,66 @@ class Encoder:
                 raise RuntimeError("words and token ids do not match")
             self.known.update(zip(some, (data[4 * lo + 4 : 4 * hi] for lo, hi in zip([-1, *cut], [*cut, len(ids)], strict=True)), strict=True))
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of distinct words that aren't known yet."""
+        plain = [w for w in words if PLAIN(w)]
+        self._joined(self.plain, plain, [w if w.isascii() else w.translate(self.letters) for w in plain], "!")
+        other = {*words}.difference(plain)
+        odd = [w for w in other if not w or "\0" in w or "<|" in w]
+        self.known.update({w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in odd})
+        other = [*other.difference(odd)]
+        self._joined(self.tokenizer, other, other, "\0")
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        if len(self.known) > RECENT:
+            self.before, self.known = self.known, {}
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = [w for w, x in zip(words, found, strict=True) if x is None]
+            seen = list(map(self.before.get, new))
+            self.known.update((w, x) for w, x in zip(new, seen, strict=True) if x is not None)
+            self._learn([w for w, x in zip(new, seen, strict=True) if x is None])
+            found = list(map(self.known.__getitem__, words))
+        return found
+
+    def _cut(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all texts with a blank before each word, and where texts begin."""
+        whole = b"".join(b" " + t for t in texts)
+        data, edges = BLANKS[np.frombuffer(whole, np.uint8)], np.cumsum([0, *(len(t) + 1 for t in texts)])
+        if b"<|" in whole and self.special(whole):
+            return data, edges
+        after = np.append(data[1:], np.uint8(32))
+        alone = after < 0xCC  # no combining character begins below
+        data[(data >= 65) & (data <= 90) & alone] += 32
+        second = np.flatnonzero(data[:-1] == 0xC3) + 1
+        second = second[~np.isin(data[second], [0x97, 0xB7])]  # signs, not letters
+        data[second[(data[second] < 0x9F) & alone[second]]] += 32
+        letters = (data >= 97) & (data <= 122)
+        letters[second] = True
+        cut = np.flatnonzero(letters & MARKS[after]) + 1
+        return np.insert(data, cut, 32), edges + np.searchsorted(cut, edges)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if self.first is None and len(self.known) > KEEP:
-            self.first = self.known.copy()
-        if len(self.known) > KEEP + LATER:
-            self.known = self.first.copy()
-        new, stems = set().union(*split).difference(self.known), {}
-        for word in new:
-            if word.isascii() and (stem := word[:-1] if word[-1] in MARKS else word).isalpha():
-                stems[word] = (chr(ord(stem[0]) + 32) + stem[1:] if "A" <= stem[0] <= "Z" else stem, word[len(stem) :])
-            else:
-                stems[word] = (word, "")
-        self._encode(list({s for s, _ in stems.values()}.difference(self.known)))
-        known = self.known
-        known.update({w: known[s] + known[e] for w, (s, e) in stems.items()})
-        known = known.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        data, edges = self._cut([t.encode() for t in texts])
+        starts = np.append(np.flatnonzero(data == 32), len(data))  # each word has a blank before it
+        ids, upto, total = [], [np.zeros(1, np.int64)], 0
+        for lo in range(0, len(starts) - 1, WORDS):
+            cut = starts[lo : lo + WORDS + 1]
+            words = pa.StringArray.from_buffers(len(cut) - 1, pa.py_buffer(cut.astype("<i4")), pa.py_buffer(data)).dictionary_encode()
+            _, ends, distinct = words.dictionary.buffers()
+            distinct = str(memoryview(distinct)[: np.frombuffer(ends, "<i4")[len(words.dictionary)]], "utf-8").split(" ")[1:]
+            parts = self._ids(distinct)
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+            at = words.indices.to_numpy()
+            n = sizes[at]
+            ends = np.cumsum(n)
+            first = (np.cumsum(sizes) - sizes)[at] - ends + n
+            ids.append(np.frombuffer(b"".join(parts), "<u4")[np.arange(ends[-1]) + np.repeat(first, n)].tobytes())
+            upto.append(ends + total)
+            total += int(ends[-1])
+        ids = b"".join(ids)
+        edges = (4 * np.concatenate(upto)[np.searchsorted(starts, edges)]).tolist()
+        return [ids[lo:hi] for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
 _encoders: dict[str, Encoder] = {}
