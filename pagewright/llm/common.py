@@ -45,8 +45,21 @@ def crc(value: object) -> int:
     return zlib.crc32(str("" if value is None else value).encode())
 
 
-def release() -> None:
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps for its next task of the same kind, until it ends one of another kind."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def release(keep: bool = False) -> None:
     """Give what a Python worker has freed back to the system: workers wait for tasks beside a busy JVM."""
+    if not keep:
+        _kept.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -228,6 +241,7 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: list[str] | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, serial, pid = [], 0, 0, TaskContext.get().partitionId()
+        release()  # before the first batch is held, of what tasks of another kind have kept
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size, serial

@@ -37,6 +37,7 @@ MOST_BITS = 1 << 16
 BLOCK = 8 << 20
 ROWS = 20  # bits of a document's row in its block
 HEAVY, ROOM, SALTS = 512, 1 << 21, 16  # a larger group (documents; shingles of all of them) is cut into chunks
+TURN = 1 << 18  # shingles whose sketch words are made at a time
 ALL, ACROSS, CONNECTED = 0, 1, 2  # which pairs of a group are compared
 SHORT = np.uint64(16)  # bits of a bucket's key that are left out on the way: two buckets in one cost work, not links
 
@@ -133,8 +134,11 @@ class Buckets:
 
     def __init__(self, s: Sets, bands: Bands):
         which = np.unique(s.vertex, return_index=True)[1]
-        keys, doc = s.keys(np.sort(which[s.n[which] > 0]), bands)
-        keys, vertex = keys >> SHORT, s.vertex[doc]
+        which = np.sort(which[s.n[which] > 0])
+        turns = np.split(which, np.flatnonzero(np.diff(np.cumsum(s.n[which]) // TURN)) + 1)
+        found = [(k >> SHORT, s.vertex[d]) for k, d in (s.keys(w, bands) for w in turns)]
+        keys, vertex = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
         order = np.lexsort((vertex, keys))
         self.keys, self.vertex = keys[order], vertex[order]
         self.start = C.runs(self.keys)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SETTINGS = ((24, 1 / 8), (48, 1 / 4), (24, 1 / 3), (48, 1 / 2))
-RECENT, TEXT, WORDS = 300_000, 1 << 23, 1 << 20
+RECENT, TEXT, WORDS = 300_000, 1 << 22, 1 << 19
 BLANKS = np.arange(256, dtype=np.uint8)
 BLANKS[[9, 10, 13]] = 32
 MARKS = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
@@ -146,14 +146,9 @@ class Encoder:
         return [ids[lo:hi] for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One for each Python worker, whatever the number of its tasks; what it keeps is bounded."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One for each Python worker, whatever the number of its packing tasks; what it keeps is bounded."""
+    return C.kept(path, lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int = 1, keep_ids: bool = False) -> DataFrame:
@@ -177,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end: int
                         out.append((key, k, lo // 4, len(piece) // 4, zlib.crc32(piece), *([np.frombuffer(piece, "<i4")] * keep_ids)))
                 at = upto
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-        C.release()
+        C.release(keep=True)
 
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return docs.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)

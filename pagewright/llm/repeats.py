@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -299,19 +299,41 @@ def _resolve(window: int):
     return lambda part, own, arrays: (streamed if part % 2 else hashed)(part, own, arrays)
 
 
-def _covered(a: Anchors, got: dict, within: bool) -> np.ndarray:
-    """Which symbols stand in a window that occurs earlier."""
-    change = np.zeros(int(a.offsets[-1]) + 1, np.int32)
+def _merged(first: np.ndarray, end: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that these stretches cover, each within its document."""
+    order = np.argsort(first, kind="stable")
+    first, reach = first[order], np.maximum.accumulate(end[order])
+    doc = np.searchsorted(offsets, first, side="right")
+    start = np.flatnonzero(np.concatenate((np.ones(len(first[:1]), bool), (first[1:] > reach[:-1]) | (doc[1:] != doc[:-1]))))
+    return first[start], reach[np.append(start[1:], len(first)) - 1] if len(start) else reach
 
-    def cover(first: np.ndarray, end: np.ndarray) -> None:
-        np.add.at(change, first, 1)
-        np.add.at(change, end, -1)
 
+def _stretches(at: np.ndarray, a: Anchors) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of windows that start one after another in a document."""
+    stands = np.zeros(int(a.offsets[-1]), bool)
+    stands[at] = True
+    at = np.flatnonzero(stands)
+    fresh = np.concatenate((np.ones(len(at[:1]), bool), at[1:] != at[:-1] + 1))
+    of_doc = np.searchsorted(at, a.offsets)
+    fresh[of_doc[of_doc < len(at)]] = True
+    start = np.flatnonzero(fresh)
+    return at[start], at[np.append(start[1:], len(at)) - 1] if len(start) else at
+
+
+def _covered(a: Anchors, got: dict, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of symbols, each within a document, that stand in windows that occur earlier: start and end.
+
+    Runs and not a mark for each symbol, as counts along all symbols of a block would take
+    some tens of bytes for each byte of text.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     if len(a.keys):
         codes = C.codes(got, 0, len(a.keys), np.uint8)
         code, lead = a.coded(codes), a.lead[a.of_class]
         later = np.arange(len(code)) != lead if within else a.ids[a.doc] > a.ids[a.doc[lead]]
         whole = (code == LATER) | later
+        del code, lead, later
+        found.append((a.first[whole], a.last[whole]))
         for kind in (OPEN, HOT):
             chosen = a.leaders(codes, kind, kind == HOT and not within)
             if not len(chosen):
@@ -319,20 +341,24 @@ def _covered(a: Anchors, got: dict, within: bool) -> np.ndarray:
             if kind == HOT:
                 at, hashes, own = a.windows(chosen)
                 order, start = _distinct(hashes)
+                del hashes
                 told = C.spread(C.codes(got, 1, len(start), np.uint8), start, len(order))
-                ids = a.ids[a.doc[own[order]]]
                 if within:
                     told[np.setdiff1d(np.arange(len(order)), start)] = 1
                 else:
+                    ids = a.ids[a.doc[own[order]]]
                     told |= ids > C.spread(ids[start], start, len(order))
+                    del ids
                 at = at[order[told > 0]]
+                del own, order, told
             else:
                 chosen = chosen[np.argsort(a.gram[chosen], kind="stable")]
                 at = C.ranges(a.first[chosen], a.last[chosen] + 1)
                 at = at[C.codes(got, 2, len(at), np.uint8) > 0]
-            cover(at, at + a.window)
-        cover(a.first[whole], a.last[whole] + a.window)
-    return np.cumsum(change[:-1]) > 0
+            found.append(_stretches(at, a))
+            del at
+    first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    return _merged(first, last + a.window, a.offsets)
 
 
 def repeated(docs: DataFrame, unit: str, window: int, gram: int, within: bool, automata: bool, most: int = 4096, keep: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -359,30 +385,26 @@ def repeated(docs: DataFrame, unit: str, window: int, gram: int, within: bool, a
 
     def work(block: int, rows: pa.Table, got: dict) -> pa.Table:
         a = Anchors(rows, unit, window, gram)
-        gone = _covered(a, got, within)
-        total = np.concatenate(([0], np.cumsum(gone, dtype=np.int64)))
-        off = a.offsets
-        edges = gone & np.concatenate(([True], ~gone[:-1]))
-        inner = off[:-1][off[:-1] < len(gone)]
-        edges[inner] |= gone[inner]
-        spans = np.concatenate(([0], np.cumsum(edges, dtype=np.int64)))
+        start, end = _covered(a, got, within)
+        off, data, at = a.offsets, memoryview(a.data), a.byte_offsets.tolist()
+        del a
+        runs = np.searchsorted(start, off)
+        total = np.concatenate(([0], np.cumsum(end - start)))[runs]
         digests, kept = [], []
-        data = a.data.tobytes()
-        for k in range(len(off) - 1):
-            lo, hi = int(off[k]), int(off[k + 1])
+        for k, (lo, hi) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+            some = slice(runs[k], runs[k + 1])
+            stays = zip([lo, *end[some].tolist()], [*start[some].tolist(), hi], strict=True)
             if unit == "words":
-                left = data[a.byte_offsets[k] : a.byte_offsets[k + 1]].split()
-                left = b" ".join(left if total[hi] == total[lo] else compress(left, ~gone[lo:hi]))
-            elif total[hi] == total[lo]:
-                left = data[lo:hi]
+                words = bytes(data[at[k] : at[k + 1]]).split()
+                left = b" ".join(chain.from_iterable(words[x - lo : y - lo] for x, y in stays))
             else:
-                left = a.data[lo:hi][~gone[lo:hi]].tobytes()
+                left = b"".join(data[x:y] for x, y in stays)
             digests.append(hashlib.sha256(left).hexdigest())
             if keep:
                 kept.append(left.decode("utf-8", "ignore"))
         if keep:
             kept = [None if x else k for x, k in zip(rows["text"].is_null().to_pylist(), kept, strict=True)]
-        cols = [rows["doc_id"], np.diff(off), total[off[1:]] - total[off[:-1]], spans[off[1:]] - spans[off[:-1]], digests, *([kept] * keep)]
+        cols = [rows["doc_id"], np.diff(off), np.diff(total), np.diff(runs), digests, *([kept] * keep)]
         out = pa.Table.from_arrays([pa.array(x, t) if not isinstance(x, pa.ChunkedArray) else x.combine_chunks() for x, t in zip(cols, kinds, strict=True)], names=names)
         return out.append_column("rest", rows["rest"]) if carry else out
 
