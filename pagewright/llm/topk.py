@@ -113,14 +113,35 @@ class Cells:
         parts, most = shadows(queries, self.directions, norms[:, None]), self.bounds(queries)
         kept, scores, scored = np.full((len(own), k), C.NULL_ID), np.full((len(own), k), least), 0
         worst = floor.copy()
+        space, flags = (np.empty(len(own) * max(map(len, self.shadows)), t) for t in (np.float32, bool))
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        met = np.zeros(len(own), bool)
+
+        def merge() -> None:
+            """What was found joins the k best; not for each cell, as it sorts k rows for each query met."""
+            x, y, found = (np.concatenate(h) for h in zip(*held, strict=True))
+            held.clear()
+            changed = np.flatnonzero(met)
+            met[:] = False
+            x, y, found = np.concatenate((np.repeat(changed, k), x)), np.concatenate((kept[changed].reshape(-1), y)), np.concatenate((scores[changed].reshape(-1), found))
+            order = np.lexsort((y, -found, x))
+            starts = C.runs(x[order])
+            first = order[np.arange(len(order)) - C.spread(starts, starts, len(order)) < k]
+            kept[changed], scores[changed] = y[first].reshape(-1, k), found[first].reshape(-1, k)
+            full = changed[scores[changed, -1] > least]
+            worst[full] = scores[full, -1]
+
         for c in np.argsort(-most.mean(axis=0), kind="stable"):
             who = np.flatnonzero(most[:, c] >= worst)
             if not len(who):
                 continue
             ids, rows = self.ids[self.at[c]], self.rows[self.at[c]]
             least_part = worst[who] / (norms[who] * (self.longest[c] or 1.0)) - self.slack
-            reach = parts[who] @ self.shadows[c].T >= least_part.astype(np.float32)[:, None]
-            if 8 * np.count_nonzero(reach) > reach.size:
+            shape = len(who), len(rows)
+            bound = np.matmul(parts[who], self.shadows[c].T, out=space[: shape[0] * shape[1]].reshape(shape))
+            reach = np.greater_equal(bound, least_part.astype(np.float32)[:, None], out=flags[: bound.size].reshape(shape))
+            pairs = np.flatnonzero(reach.reshape(-1))
+            if 8 * len(pairs) > reach.size:
                 found = asked[who] @ rows.T
                 scored += found.size
                 found[ids[None, :] == own[who, None]] = least
@@ -131,20 +152,18 @@ class Cells:
                 x, y = np.nonzero(win)
                 found = found[x, y]
             else:
-                x, y = np.nonzero(reach)
+                x, y = np.divmod(pairs, len(rows))
                 found = np.einsum("ij,ij->i", asked[who[x]], rows[y])
                 scored += len(found)
             x, y = who[x], ids[y]
             new = (y != own[x]) & (found >= floor[x]) & ((found > scores[x, -1]) | (found == scores[x, -1]) & (y < kept[x, -1]))
-            x, y, found = x[new], y[new], found[new]
-            changed = np.unique(x)
-            x, y, found = np.concatenate((np.repeat(changed, k), x)), np.concatenate((kept[changed].reshape(-1), y)), np.concatenate((scores[changed].reshape(-1), found))
-            order = np.lexsort((y, -found, x))
-            starts = C.runs(x[order])
-            first = order[np.arange(len(order)) - C.spread(starts, starts, len(order)) < k]
-            kept[changed], scores[changed] = y[first].reshape(-1, k), found[first].reshape(-1, k)
-            full = changed[scores[changed, -1] > least]
-            worst[full] = scores[full, -1]
+            if new.any():
+                held.append((x[new], y[new], found[new]))
+                met[x[new]] = True
+                if 4 * sum(len(h[0]) for h in held) >= k * np.count_nonzero(met):
+                    merge()
+        if held:
+            merge()
         return kept, scores, scored
 
     @property
@@ -180,7 +199,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: float =
     A block of candidates holds about ``block`` components, one of queries
     ``query_block``: each side is sent once for each block of the other, and a query
     gets k rows from each block of candidates, so blocks are as large as a task can
-    well hold.  Smaller tables are cut into up to ``tasks`` blocks of candidates.
+    well hold.  Smaller tables are cut into up to ``tasks`` blocks of candidates, of
+    8192 rows or more.
     """
     whole = lambda df: vectors.valid(df).select("vec_id", F.transform("embedding", lambda x: F.floor(x * F.lit(scale))).alias("v")).withColumn("dim", F.size("v"))
     rows, asked = whole(candidates), whole(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
@@ -192,7 +212,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: float =
     for dim in {len(r.v) for r in drawn}:
         seeds[dim] = np.array([r.vec_id for r in drawn if len(r.v) == dim], np.int64), narrow(np.array([r.v for r in drawn if len(r.v) == dim], np.int64))
         tables[dim] = pivots(seeds[dim][1].astype(np.float64), n_pivots)
-    n_blocks, n_query_blocks = max(1, -(-held // block), min(tasks, -(-n // 1024))), max(1, -(-held_asked // query_block))
+    n_blocks, n_query_blocks = max(1, -(-held // block), min(tasks, -(-n // 8192))), max(1, -(-held_asked // query_block))
 
     def packed(df: DataFrame, n_own: int, n_other: int, own: str, other: str) -> DataFrame:
         """(own block, dim, ids, vectors; of queries their floors), once for each block of the other side."""
