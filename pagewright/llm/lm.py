@@ -50,7 +50,8 @@ class Stream:
         self.spots = []
         total = 0
         for j in range(1, order + 1):
-            spots = np.flatnonzero(local >= pads - 1)  # n-grams that end in the last begin, a context, or a token
+            # Shorter ones than the longest also end in the last begin, as contexts; the longest would start before its document there.
+            spots = np.flatnonzero(local >= pads - (j < order))
             keys.append(C.mix(roll.of(spots - j + 1, spots + 1) ^ np.uint64(j * 0x632BE59B)))
             where = np.full(n, -1, np.int64)
             where[spots] = np.arange(total, total + len(spots))

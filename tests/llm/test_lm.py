@@ -7,9 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from pagewright.llm.lm import deleted_interpolation, mixture
+from pagewright.llm import common
+from pagewright.llm.lm import Stream, deleted_interpolation, mixture
 
 
 def corpus(n=120):
@@ -101,6 +103,33 @@ def test_scores(spark, order):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) or order == 1
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4, 5])
+def test_keys_do_not_depend_on_what_a_worker_did_before(monkeypatch, order):
+    """A block asks and reads its answers in workers that have met larger blocks, or none: its n-grams are the same."""
+    rows = pa.table({"doc_id": [1, 2, 3], "text": ["a b a", "", "b c"]})
+    every = common.powers(1 << 20)
+    told = []
+    for size in (100, 1000):
+        monkeypatch.setattr(common, "_powers", [x[:size] for x in every])
+        s = Stream(rows, order)
+        told.append((s.keys.tolist(), s.counts(np.ones(3, bool)).tolist(), s.code.tolist()))
+    assert told[0] == told[1]
+
+
+def test_counts_of_uneven_blocks(spark):
+    """Short texts, then one of over 2**20 symbols, each a block: the short ones' counts are not mixed up."""
+    rnd = random.Random(9)
+    rows = [(k, " ".join(rnd.choice("abcdefghij") + str(rnd.randrange(40)) for _ in range(1_100_000 if k == 11 else 2000))) for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id")
+    got = {r.doc_id: r for r in deleted_interpolation(df, block_bytes=4096).collect()}
+    ts = {d: Counter(tokens(text)) for d, text in rows}
+    train = sum((c for d, c in ts.items() if zlib.crc32(str(d).encode()) % 7 != 2), Counter())
+    n, v = sum(train.values()), len(train)
+    for d, c in ts.items():
+        assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (sum(c.values()), sum(m for t, m in c.items() if t in train), n)
+        assert math.isclose(got[d].base_score, sum(m * math.log10((train[t] + 1) / (n + v + 1)) for t, m in c.items()), rel_tol=1e-9)
+
+
 def test_order_is_checked(spark):
     for order in (0, 6):
         with pytest.raises(ValueError, match="order"):
