@@ -40,30 +40,39 @@ class Stream:
         self.n_words = np.diff(before)
         self.offsets = np.concatenate(([0], np.cumsum(self.n_words + pads + 1)))
         n = int(self.offsets[-1])
-        doc = np.repeat(np.arange(len(self.n_words)), self.n_words + pads + 1)
-        self.doc, local = doc, np.arange(n) - self.offsets[doc]
+        index = np.int32 if order * n < 1 << 31 else np.int64
+        doc = np.repeat(np.arange(len(self.n_words), dtype=index), self.n_words + pads + 1)
+        self.doc, local = doc, (np.arange(n) - self.offsets[doc]).astype(index)
         symbols = np.full(n, BEGIN, np.uint64)
         symbols[local >= pads] = END
         symbols[(local >= pads) & (np.arange(n) < self.offsets[doc + 1] - 1)] = hashes
-        self.at = np.flatnonzero(local >= pads)
+        self.at = np.flatnonzero(local >= pads).astype(index)
+        begin = symbols == BEGIN
         roll, keys, self.from_ = C.Rolling(symbols), [], []
+        del hashes, symbols
         self.spots = []
         total = 0
         for j in range(1, order + 1):
             # Shorter ones than the longest also end in the last begin, as contexts; the longest would start before its document there.
-            spots = np.flatnonzero(local >= pads - (j < order))
+            spots = np.flatnonzero(local >= pads - (j < order)).astype(index)
             keys.append(C.mix(roll.of(spots - j + 1, spots + 1) ^ np.uint64(j * 0x632BE59B)))
-            where = np.full(n, -1, np.int64)
+            where = np.full(n, -1, index)
             where[spots] = np.arange(total, total + len(spots))
             self.spots.append(spots)
             self.from_.append(where)
             total += len(spots)
+        del roll, local, where
         keys = np.concatenate(keys)
-        self.keys, self.which = np.unique(keys, return_inverse=True)
+        by_key = np.argsort(keys).astype(index)
+        keys = keys[by_key]
+        fresh = np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)]
+        self.keys, self.which = keys[fresh], np.empty(len(keys), index)
+        del keys
+        self.which[by_key] = np.cumsum(fresh, dtype=index) - 1
         self.code = np.zeros(len(self.keys), np.uint8)
         for j in range(order, 0, -1):
             self.code[self.which[self.from_[j - 1][self.spots[j - 1]]]] = j
-        self.code[self.which[self.from_[0][self.spots[0][symbols[self.spots[0]] == BEGIN]]]] = 0
+        self.code[self.which[self.from_[0][self.spots[0][begin[self.spots[0]]]]]] = 0
 
     def counts(self, docs: np.ndarray) -> np.ndarray:
         """Of each distinct n-gram, in these documents (a mask)."""
